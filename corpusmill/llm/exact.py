@@ -52,7 +52,7 @@ def dedup_table(docs: DataFrame, digest=F.xxhash64) -> DataFrame:
         light = _verified(texts, light, store, clashes, digest)
         key = ["recipe", "variants"]
     groups = materialize(light.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    return light.join(groups, key).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return light.join(groups, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def _verified(texts: DataFrame, light: DataFrame, store: DataFrame, clashes: DataFrame, digest) -> DataFrame:

@@ -62,8 +62,7 @@ def _covered(grams: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base counts and the ratios of the table to ``docs``, all as built-in expressions over the whole text.
 
-    Null text counts as empty; ratios of texts without words are 0. Input columns keep their names and values: the
-    counts come in one struct column ``_quality``, so no name can clash.
+    Null text counts as empty; ratios of texts without words are 0. The counts come in one struct column, ``_quality``.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     long = lambda c: c.cast("long")
@@ -121,9 +120,10 @@ def quality_report(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the rules keep."""
+    """The rows of ``docs``, with all their columns, that the rules keep. The row travels as one struct: no name clashes."""
     q = F.col("_quality")
-    return measure(docs).where(~base_failed(q) & verdict(q, thresholds)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    held = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
+    return measure(held).where(~base_failed(q) & verdict(q, thresholds)).select("_row.*")
 
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
