@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, neardup, packing, quality
+from . import exact, neardup, packing, quality, rans
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.token_files(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -27,6 +31,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op7_rans_token_files": op7_rans_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
