@@ -4,18 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, neardup, packing, quality, rans
+from . import exact, licenses, mixing, neardup, packing, quality, rans, sharding, toxicity
 from .common import documents
 
 
+def op1_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op6_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_files(documents(spark, sf_dir))
 
@@ -29,14 +46,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op4_temperature_mixing": op4_temperature_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_sampled_splitter_shards": op6_sampled_splitter_shards,
     "op7_rans_token_files": op7_rans_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_license_scan": licenses.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
     "op9_exact_dedup": exact.ORACLE_SQL,
 }
