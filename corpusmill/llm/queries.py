@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses, mixing, neardup, packing, quality, rans, sharding, toxicity
+from . import exact, licenses, mixing, neardup, packing, quality, rans, sharding, substrings, toxicity
 from .common import documents
 
 
@@ -45,6 +45,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_table(documents(spark, sf_dir))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -55,6 +59,7 @@ QUERIES = {
     "op7_rans_token_files": op7_rans_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL = {
