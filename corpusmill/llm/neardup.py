@@ -4,9 +4,10 @@
    which its smallest doc_id stands for, so exact copies never meet each other.
 2. Signatures are cut into 32 bands of four minima: two sets of similarity 0.75 share a band with probability
    1 - (1 - 0.75 ** 4) ** 32, all but five in a million.
-3. In each bucket every class is compared with the smallest one: a star, whose size is that of the bucket.
-4. Buckets in which more than one component is left are compared block by block inside tasks, which hand on only
-   pairs that the signatures cannot rule out; pairs within one component are not looked at.
+3. In each bucket every class is compared with the smallest one, then with the one of most links: stars, whose size
+   is that of the bucket.
+4. Buckets in which more than one component is left are compared block by block inside tasks; pairs of one component
+   are not looked at, and a task hands on only links that join components, so its rows never outnumber its classes.
 5. A comparison reads the minima in batches and stops as soon as the posterior probability of reaching the threshold
    falls under ``miss``; what is left is verified on the full sets.
 """
@@ -28,6 +29,7 @@ from .components import components
 N_HASHES, BANDS, ROWS, BATCH = 128, 32, 4, 16
 THRESHOLD, MISS = 75, 1e-7  # per cent; posterior probability under which a pair is given up
 BLOCK = 512
+BROADCAST_IDS = 1_000_000  # ids, eight bytes each, that are sent to every task at most; beyond that the texts are shuffled
 
 
 def least_matches(threshold: float = THRESHOLD / 100, miss: float = MISS) -> list[tuple[int, int]]:
@@ -77,52 +79,85 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).take(pa.array(left))
 
 
-def _block_pairs(pdf_left, pdf_right):
-    """Pairs of different components from two blocks of one bucket that the signatures don't rule out."""
+def _block_links(pdf_left, pdf_right):
+    """Links between two blocks of one bucket that join components, verified on the full sets."""
     import pandas as pd
 
-    rule = least_matches()
-    if not len(pdf_left) or not len(pdf_right):
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    pdf_right = pdf_right.set_axis(pdf_left.columns, axis=1)
-    (x, a, la), (y, b, lb) = (
-        (np.frombuffer(b"".join(p["signature"]), np.uint32).reshape(-1, N_HASHES), p["class_id"].to_numpy(), p["label"].to_numpy())
-        for p in (pdf_left, pdf_right)
-    )
-    found = []
-    for i in range(len(x)):
-        left = np.flatnonzero(lb != la[i])
-        for n, least in rule:
-            left = left[(y[left, :n] == x[i, :n]).sum(axis=1) >= least]
-        found.append(np.stack((np.full(len(left), a[i]), b[left]), axis=1))
-    pairs = np.concatenate(found)
-    low, high = pairs.min(axis=1), pairs.max(axis=1)
-    return pd.DataFrame({"a": low, "b": high})
+    out: list[tuple[int, int]] = []
+    if len(pdf_left) and len(pdf_right):
+        rule, ratio = least_matches(), THRESHOLD / 100
+        pdf_right = pdf_right.set_axis(pdf_left.columns, axis=1)
+        (x, a, la, sa), (y, b, lb, sb) = (
+            (
+                np.frombuffer(b"".join(p["signature"]), np.uint32).reshape(-1, N_HASHES),
+                p["class_id"].to_numpy(),
+                p["label"].to_numpy(),
+                [np.asarray(s, np.int64) for s in p["shingles"]],
+            )
+            for p in (pdf_left, pdf_right)
+        )
+        root = {k: k for k in {*la.tolist(), *lb.tolist()}}
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        size = np.array([len(s) for s in sb])
+        for i in range(len(x)):
+            left = np.flatnonzero((lb != la[i]) & (np.minimum(size, len(sa[i])) >= ratio * np.maximum(size, len(sa[i]))))
+            for n, least in rule:
+                left = left[(y[left, :n] == x[i, :n]).sum(axis=1) >= least]
+            for j in left.tolist():
+                p, q = find(int(la[i])), find(int(lb[j]))
+                if p != q:
+                    shared = len(np.intersect1d(sa[i], sb[j], assume_unique=True))
+                    if 100 * shared >= THRESHOLD * (len(sa[i]) + len(sb[j]) - shared):
+                        root[p] = q
+                        out.append((int(a[i]), int(b[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    sig = lambda name, s: classes.select(F.col("class_id").alias(name), F.col("signature").alias(s))
-    both = pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(_survivors, "a long, b long")
+    """Pairs that neither the sizes of the sets nor the signatures rule out."""
+    one = lambda x: classes.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(_survivors, "a long, b long")
+
 
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents of ``ids``, computed where the texts lie as long as the ids are few."""
+    ids = materialize(ids.distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    return materialize(texts.mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
-def _verify(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+
+def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     pairs = materialize(pairs, "survivors")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     side = lambda name, s: sets.select(F.col("id").alias(name), F.col("shingles").alias(s))
     both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-    return materialize(shared.where(100 * F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b"), "links")
+    return materialize(shared.where(100 * F.col("i") >= THRESHOLD * (F.col("n") - F.col("i"))).select("a", "b"), "links")
+
 
+def _stars(bands: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Distinct pairs of each bucket's pivot with its other classes."""
+    pairs = bands.join(pivots, "key").where("class_id <> pivot")
+    return pairs.select(F.least("pivot", "class_id").alias("a"), F.greatest("pivot", "class_id").alias("b")).distinct()
 
-def _left_over(bands: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of buckets that hold three or more classes and more than one component, block against block."""
+
+def _left_over(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links that join components, from buckets that hold three or more classes of more than one component."""
     named = bands.join(labels, F.col("class_id") == F.col("node"), "left").select("key", "class_id", F.coalesce("component", "class_id").alias("label"))
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h")).where("size > 2 AND l <> h")
-    member = materialize(named.join(mixed.select("key", "size"), "key"), "mixed")
+    mixed = named.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h"), F.bit_xor(F.xxhash64("class_id")).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y")
+    )
+    # Buckets of the same classes, as near copies share many, are looked at once.
+    mixed = mixed.where("size > 2 AND l <> h").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+    member = materialize(named.join(materialize(mixed, "keys"), "key"), "mixed")
     share = materialize(member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")), "shares")
     # A component with many members has blocks of its own; two of its blocks are never compared.
     own = F.col("n") >= BLOCK // 2
@@ -135,14 +170,16 @@ def _left_over(bands: DataFrame, classes: DataFrame, labels: DataFrame) -> DataF
     other = blocks.select("key", F.col("block").alias("other"))
     tasks = blocks.join(other, "key").where("block <= other AND (block.owner IS NULL OR other.owner IS NULL OR block.owner <> other.owner)")
     tasks = materialize(tasks.withColumn("task", F.xxhash64("key", F.col("block").cast("string"), F.col("other").cast("string"))), "tasks")
-    fields = ("task", "class_id", "label", "signature")
-    full = placed.join(classes.select("class_id", "signature"), "class_id")
-    left = full.join(tasks.select("key", "block", "task"), ["key", "block"]).select(*fields)
-    right = full.join(tasks.select("key", F.col("other").alias("block"), "task"), ["key", "block"]).select(*(F.col(c).alias(f"other_{c}") for c in fields))
-    return left.groupBy("task").cogroup(right.groupBy("other_task")).applyInPandas(_block_pairs, "a long, b long").distinct()
+    sets = _sets_of(docs, placed.select(F.col("class_id").alias("id"))).withColumnRenamed("id", "class_id")
+    fields = ("task", "class_id", "label", "signature", "shingles")
+    full = materialize(classes.select("class_id", "signature").join(sets, "class_id"), "full")
+    left = placed.join(tasks.select("key", "block", "task"), ["key", "block"]).join(full, "class_id").select(*fields)
+    right = placed.join(tasks.select("key", F.col("other").alias("block"), "task"), ["key", "block"]).join(full, "class_id")
+    right = right.select(*(F.col(c).alias(f"other_{c}") for c in fields))
+    return left.groupBy("task").cogroup(right.groupBy("other_task")).applyInPandas(_block_links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
     Null and empty texts have no shingles and are linked with nothing; a text of one to four words is one shingle.
@@ -155,14 +192,17 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = materialize(some.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.max("signature").alias("signature")), "classes")
     band = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("signature", 1 + 16 * k, 16)) for k in range(BANDS))))
     bands = classes.where("class_id IS NOT NULL").select("class_id", band.alias("key"))
-    shared = bands.groupBy("key").agg(F.min("class_id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    bands = materialize(bands.join(materialize(shared, "buckets"), "key"), "bands")
-    star = bands.where("class_id <> pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct()
-    links = _verify(_prune(star, classes), docs, threshold)
+    first = materialize(bands.groupBy("key").agg(F.min("class_id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "pivot"), "buckets")
+    bands = materialize(bands.join(first.select("key"), "key", "left_semi"), "bands")
+    star = materialize(_stars(bands, first), "star")
+    links = _verify(_prune(star, classes), docs)
+    degree = materialize(links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    second = bands.join(degree, "class_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("class_id")).alias("c"))).alias("most")).select("key", (-F.col("most.c")).alias("pivot"))
+    again = _stars(bands, materialize(second, "pivots")).join(star, ["a", "b"], "left_anti")
+    links = links.unionByName(_verify(_prune(again, classes), docs))
     labels = components(links)
-    rest = materialize(_left_over(bands.select("key", "class_id"), classes, labels), "left_over")
-    if not rest.isEmpty():
-        more = _verify(rest, docs, threshold)
+    more = materialize(_left_over(bands, classes, labels, docs), "left_over")
+    if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = materialize(
         classes.select(*key, "class_id").join(labels, F.col("class_id") == F.col("node"), "left").select(*key, F.coalesce("component", "class_id").alias("found")), "named"
@@ -172,7 +212,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, of the smallest doc_id of each group."""
-    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
