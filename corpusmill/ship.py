@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -23,6 +24,6 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(top, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(out.name)
-    os.unlink(out.name)
+    spark.sparkContext.addPyFile(out.name)  # executors fetch it from the driver whenever they start
+    atexit.register(lambda: os.path.exists(out.name) and os.unlink(out.name))
     _shipped.add(app)
