@@ -11,23 +11,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import materialize
 
-MIN_CHUNK, MAX_CHUNK = 256, 4096
+MIN_CHUNK, MAX_CHUNK = 1024, 8192
 
 
-def _character_class(residue: int) -> str:
-    """Latin letters, digits and marks whose code point falls into one of sixteen classes, as a character class."""
-    chars = [c for c in range(0x21, 0x250) if (c * 40503 >> 4) % 16 == residue and not 0x7F <= c <= 0xA0]
-    return "[" + "".join(f"\\x{{{c:x}}}" for c in chars) + "]"
+def _letters(residue: int) -> str:
+    """A quarter of the ASCII letters and digits, as a character class."""
+    return "[" + "".join(chr(c) for c in range(0x30, 0x7B) if chr(c).isalnum() and (c * 40503 >> 4) % 4 == residue) + "]"
 
 
-CHUNK = f"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 2}}}?{_character_class(3)}{_character_class(9)}|(?s).{{1,{MAX_CHUNK}}}"
+#: The shortest stretch of at least MIN_CHUNK characters that ends in three characters of given classes; else MAX_CHUNK characters.
+CHUNK = f"(?s).{{{MIN_CHUNK - 3},{MAX_CHUNK - 3}}}?{_letters(0)}{_letters(1)}{_letters(2)}|.{{1,{MAX_CHUNK}}}"
+#: Runs of white space that are not a single space already.
+UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
 def normalized(text: Column) -> Column:
     """Each run of white space as one space; null as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), UNEVEN_SPACE, " ")
 
 
 def chunks(text: Column) -> Column:
