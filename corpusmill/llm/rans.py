@@ -109,7 +109,8 @@ def decode_block(n: int, lanes: int, words: np.ndarray, points: list[tuple[int,
             y[low] = (y[low] << WORD) | words[pos : pos + len(low)]
             pos += len(low)
             x[:m] = y
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        end = points[k + 1][2] if k + 1 < len(points) else LOW  # where the encoder began
+        if (x != end).any() or zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError(f"checksum of block part {k} is wrong")
         parts.append(ids)
     return np.concatenate(parts) if parts else np.empty(0, np.uint32)
