@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> dict[st
     chosen = usable.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most ``most`` rows
     named = rows.select("text", F.struct("doc_id", "label").alias("label")).mapInArrow(_features, "label struct<doc_id:long,label:int>, terms array<long>")
-    found = named.select("label.doc_id", "label.label", "terms").groupBy(F.lit(0)).applyInPandas(_train, "terms binary, w binary, v binary, bias binary").first()
+    found = named.select("label.doc_id", "label.label", "terms", F.lit(0).alias("all")).groupBy("all").applyInPandas(_train, "terms binary, w binary, v binary, bias binary").first()
     if found is None:
         return fit(np.empty(0, int), [])
     raw = found.asDict()
