@@ -4,7 +4,7 @@ Each 100-byte window is represented by its anchor: the 32-byte string inside it
 ties. Equal windows have their anchor at the same place, so only suffixes at anchors, about one byte in 35, have to be
 compared. A stretch of windows with one anchor, and the bytes they span, is the anchor's context.
 
-1. Tasks find anchors and contexts; of equal contexts in a batch only the first travels, the others are repeats.
+1. Tasks find anchors and contexts; of equal contexts in some megabytes of text only the first travels, the others are repeats.
 2. Anchors meet by the hash of their string. A context equal to an earlier one is repeated as a whole. Where one
    anchor has different contexts, as at the edges of repeats and edits, the contexts' first occurrences go on.
 3. Those contexts' bytes are fetched and the suffixes at their windows are sorted by merging: the common extension of
@@ -30,6 +30,7 @@ from .common import materialize, partitions
 LENGTH, ANCHOR = 100, 32
 STRINGS = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 SEGMENT = 1 << 22
+ANCHOR_SLICE, AT_HAND = 1 << 20, 1 << 23  # bytes read at once; bytes whose anchors are combined before they travel
 BROADCAST_ROWS = 4_000_000  # spans or contexts, 24 bytes each, that are sent to every task at most
 NO_ID = -(1 << 63)  # stands for a null doc_id, and comes first
 
@@ -81,39 +82,44 @@ _ANCHOR_DDL = "route long, context long, doc long, low long, shape int, high lon
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors (``high`` null) and, of contexts that came earlier in the batch, merged repeats (``high`` set)."""
+    """Anchors (``high`` null) and, of contexts that came earlier among the texts at hand, merged repeats (``high`` set)."""
     for batch in batches:
-        found = []
+        found, held = [], 0
         ids = batch.column(0).fill_null(NO_ID).to_numpy()
-        for i, _, data, offsets in K.text_slices(batch.column(1)):
+        for i, j, data, offsets in K.text_slices(batch.column(1), ANCHOR_SLICE):
             kmer, context, doc, low, lead, more = anchors(data, offsets)
             found.append((kmer.view(np.int64), context.view(np.int64), ids[i + doc], low, lead << 8 | more))
-        if not found:
-            continue
-        kmer, context, doc, low, shape = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((low, doc, context, kmer))
-        k, c, d, s = kmer[order], context[order], doc[order], low[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        again = np.zeros(len(order), bool)
-        again[order] = ~new & ((d != d[head]) | (s != s[head]))
-        keep = np.zeros(len(order), bool)
-        keep[order] = new
-        lo, hi = low[again], low[again] + (shape[again] & 255) + LENGTH
-        owner, lo, hi = merged(doc[again], lo, hi)
-        n = int(keep.sum())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate((kmer[keep], K.mix(owner.view(np.uint64) + lo.view(np.uint64)).view(np.int64)))),
-                pa.array(np.concatenate((context[keep], np.zeros(len(lo), np.int64)))),
-                pa.array(np.concatenate((doc[keep], owner))),
-                pa.array(np.concatenate((low[keep], lo))),
-                pa.array(np.concatenate((shape[keep], np.zeros(len(lo), np.int64))).astype(np.int32)),
-                pa.array(np.concatenate((np.zeros(n, np.int64), hi)), mask=np.arange(n + len(lo)) < n),
-            ],
-            ["route", "context", "doc", "low", "shape", "high"],
-        )
+            held += len(data)
+            if held >= AT_HAND or j == len(batch):
+                yield _combined(found)
+                found, held = [], 0
+
+
+def _combined(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    kmer, context, doc, low, shape = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((low, doc, context, kmer))
+    k, c, d, s = kmer[order], context[order], doc[order], low[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    again = np.zeros(len(order), bool)
+    again[order] = ~new & ((d != d[head]) | (s != s[head]))
+    keep = np.zeros(len(order), bool)
+    keep[order] = new
+    lo, hi = low[again], low[again] + (shape[again] & 255) + LENGTH
+    owner, lo, hi = merged(doc[again], lo, hi)
+    n = int(keep.sum())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((kmer[keep], K.mix(owner.view(np.uint64) + lo.view(np.uint64)).view(np.int64)))),
+            pa.array(np.concatenate((context[keep], np.zeros(len(lo), np.int64)))),
+            pa.array(np.concatenate((doc[keep], owner))),
+            pa.array(np.concatenate((low[keep], lo))),
+            pa.array(np.concatenate((shape[keep], np.zeros(len(lo), np.int64))).astype(np.int32)),
+            pa.array(np.concatenate((np.zeros(n, np.int64), hi)), mask=np.arange(n + len(lo)) < n),
+        ],
+        ["route", "context", "doc", "low", "shape", "high"],
+    )
 
 
 def merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,8 +268,8 @@ class Suffixes:
         out = self.extension(x, y) >= LENGTH
         at = np.flatnonzero(out)
         reach = np.arange(LENGTH)
-        for s in range(0, len(at), 50_000):
-            p = at[s : s + 50_000]
+        for s in range(0, len(at), 10_000):
+            p = at[s : s + 10_000]
             out[p] = (self.data[x[p][:, None] + reach] == self.data[y[p][:, None] + reach]).all(axis=1)
         return out
 
