@@ -1,26 +1,33 @@
 """Token ids of whole texts, by the tokenizers library.
 
 The byte-level pre-tokenizer always starts a new piece at a space that stands before a character that is not white
-space, so a text is cut there and each piece's ids are remembered; the library sees a piece again only after the
-bounded memory was emptied.
+space, so a text is cut there. Each piece gets a number and its ids are remembered; a text is then a gather from the
+remembered ids. A new piece is cut further by the pre-tokenizer's own pattern, and the library sees each of these
+pre-tokens again only after the bounded memory was emptied.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-MEMORY = 400_000  # pieces remembered at once
+MEMORY = 1_000_000  # pieces remembered at once
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
-_JOINED = 1 << 18  # characters handed to the library at once
 _SPACE_MARK = "Ġ"  # how the vocabulary writes a space
+#: Fixed value: the public pattern of byte-level pre-tokenizers.
+_PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_SETTLED = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")  # characters whose classes are the same in every Unicode version
+_JOINED = 3000  # pre-tokens handed to the library at once
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -35,22 +42,32 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of texts, as packed little-endian integers of ``dtype``."""
+    """Ids of texts, as packed little-endian integers of ``dtype``. Only for byte-level vocabularies."""
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.size = size
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.by_space = (Tokenizer.from_file(tokenizer_path(name)) for _ in range(2))
+        for t in (self.tokenizer, self.by_space):
+            t.encode_special_tokens = True
+        # The same model for strings in which a space begins each pre-token and stands nowhere else.
+        self.by_space.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocab = self.tokenizer.get_vocab()
+        self.size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for token, i in vocab.items() if token.startswith(_SPACE_MARK)]] = True
-        self.known: dict[str, bytes] = {}
         self.end = np.array([END], self.dtype).tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.pre_tokens: dict[str, bytes] = {}
+        self.ids = np.empty(0, self.dtype)  # of all numbered pieces, one after another
+        self.starts = np.zeros(1, np.int64)
 
     def _pack(self, ids) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()
@@ -58,40 +75,52 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Remember pieces, each with its leading space."""
-        inner = [p for p in pieces if " " in p]
-        for p, ids in zip(inner, self._plain([" " + p for p in inner]), strict=True):
-            self.known[p] = ids
-        plain = [p for p in pieces if " " not in p]
-        at = 0
-        while at < len(plain):
-            part, size = [], 0
-            while at < len(plain) and (size < _JOINED or not part):
-                part.append(plain[at])
-                size += len(plain[at]) + 1
-                at += 1
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(" " + p for p in part)], add_special_tokens=False)[0].ids, self.dtype)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(part):  # another vocabulary's ways
-                self.known.update(zip(part, self._plain([" " + p for p in part]), strict=True))
-                continue
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            ends = [*(starts[1:] * width).tolist(), len(raw)]
-            self.known.update((p, raw[s:e]) for p, s, e in zip(part, (starts * width).tolist(), ends, strict=True))
+    def _learn(self, new: set[str]) -> None:
+        """Remember pre-tokens, and texts that were not cut into such."""
+        spaced = [p for p in new if p[0] == " " and p.rfind(" ") == 0 and p != " " and _SETTLED.fullmatch(p)]
+        other = list(new.difference(spaced))
+        self.pre_tokens.update(zip(other, self._plain(other), strict=True))
+        width = self.dtype.itemsize
+        for i in range(0, len(spaced), _JOINED):
+            part = spaced[i : i + _JOINED]
+            ids = np.asarray(self.by_space.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            starts = np.flatnonzero(self.opens[ids]) * width
+            raw, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids) * width]
+            self.pre_tokens.update((p, raw[s:e]) for p, s, e in zip(part, starts.tolist(), ends, strict=True))
+
+    def _number(self, pieces: list[str]) -> None:
+        """Remember pieces; one that begins with a space is the beginning of a text, all others follow a space."""
+        texts = [p[1:] if p[:1] == " " else " " + p for p in pieces]
+        cut = [_PRE_TOKENS.findall(t) if _SETTLED.fullmatch(t) else [t] for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.pre_tokens, ("",))
+        if new:
+            self._learn(new)
+        self.pre_tokens[""] = b""
+        find = self.pre_tokens.__getitem__
+        packed = [find(c[0]) if len(c) == 1 else b"".join(map(find, c)) for c in cut]
+        ends = np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed))) // self.dtype.itemsize
+        self.starts = np.concatenate((self.starts, self.starts[-1] + ends))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(packed), self.dtype)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, without an end id."""
+        if len(self.number) > MEMORY:
+            self._forget()
         cut = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        heads = self._plain([c[0] for c in cut])
-        tails = [c[1:] for c in cut]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = set().union(*tails).difference(self.known)
-        if new:
-            self._learn(new)
-        find = self.known.__getitem__
-        return [h + b"".join(map(find, t)) for h, t in zip(heads, tails, strict=True)]
+        for c in cut:
+            c[0] = " " + c[0]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        known = len(self.number)
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        if len(self.number) > known:
+            self._number(list(islice(self.number, known, None)))
+        start = self.starts[numbers]
+        length = self.starts[numbers + 1] - start
+        ends = np.cumsum(length)
+        ids = self.ids[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))] * self.dtype.itemsize
+        raw = ids.tobytes()
+        return [raw[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def encoder(name: str = TOKENIZER) -> Encoder:
