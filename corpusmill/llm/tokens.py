@@ -1,9 +1,9 @@
 """Token ids of whole texts, by the tokenizers library.
 
 The byte-level pre-tokenizer always starts a new piece at a space that stands before a character that is not white
-space, so a text is cut there. Each piece gets a number and its ids are remembered; a text is then a gather from the
-remembered ids. A new piece is cut further by the pre-tokenizer's own pattern, and the library sees each of these
-pre-tokens again only after the bounded memory was emptied.
+space, so texts are cut there and the different pieces of some megabytes are looked up once. New pieces are cut
+further by the pre-tokenizer's own pattern, and the library sees a pre-token again only after the bounded memory was
+emptied. A text is then a gather from remembered ids.
 """
 
 from __future__ import annotations
@@ -12,21 +12,24 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from . import kernels as K
+
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 MEMORY = 1_000_000  # pieces remembered at once
+SLICE = 1 << 22  # bytes of text whose pieces are looked up together
 _CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?:\s|\Z)")
 _SPACE_MARK = "Ġ"  # how the vocabulary writes a space
 #: Fixed value: the public pattern of byte-level pre-tokenizers.
 _PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_SETTLED = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")  # characters whose classes are the same in every Unicode version
+_SETTLED = re.compile(r"[\t\n\r\x21-\x7e\xa1-ɏ]*")  # no spaces; characters whose classes are the same in every Unicode version
 _JOINED = 3000  # pre-tokens handed to the library at once
 
 _encoders: dict[tuple, Encoder] = {}
@@ -41,8 +44,41 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Memory:
+    """Numbered strings and their ids."""
+
+    def __init__(self, dtype: np.dtype):
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids = np.empty(0, dtype)
+        self.start = self.length = np.empty(0, np.int64)
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """(numbers, strings that are new, their numbers); new ones wait for ``add``."""
+        known = len(self.number)
+        found = np.fromiter(map(self.number.__getitem__, texts), np.int64, len(texts))
+        new = list(islice(self.number, known, None)) if len(self.number) > known else []
+        self.start, self.length = (np.concatenate((x, np.zeros(len(new), np.int64))) for x in (self.start, self.length))
+        return found, new, np.arange(known, known + len(new))
+
+    def add(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.start[numbers] = len(self.ids) + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
+        self.ids = np.concatenate((self.ids, ids))
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, how many of each)."""
+        length = self.length[numbers]
+        ends = np.cumsum(length)
+        return self.ids[np.repeat(self.start[numbers] - ends + length, length) + np.arange(length.sum())], length
+
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of ``x`` that begin at ``first``, each up to the next."""
+    return np.diff(np.concatenate(([0], np.cumsum(x)))[np.append(first, len(x))])
+
+
 class Encoder:
-    """Ids of texts, as packed little-endian integers of ``dtype``. Only for byte-level vocabularies."""
+    """Ids of texts, as little-endian integers of ``dtype``. Only for byte-level vocabularies."""
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,66 +97,72 @@ class Encoder:
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for token, i in vocab.items() if token.startswith(_SPACE_MARK)]] = True
         self.end = np.array([END], self.dtype).tobytes()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: defaultdict[str, int] = defaultdict(count().__next__)
-        self.pre_tokens: dict[str, bytes] = {}
-        self.ids = np.empty(0, self.dtype)  # of all numbered pieces, one after another
-        self.starts = np.zeros(1, np.int64)
-
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Remember pre-tokens, and texts that were not cut into such."""
-        spaced = [p for p in new if p[0] == " " and p.rfind(" ") == 0 and p != " " and _SETTLED.fullmatch(p)]
-        other = list(new.difference(spaced))
-        self.pre_tokens.update(zip(other, self._plain(other), strict=True))
-        width = self.dtype.itemsize
-        for i in range(0, len(spaced), _JOINED):
-            part = spaced[i : i + _JOINED]
-            ids = np.asarray(self.by_space.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            starts = np.flatnonzero(self.opens[ids]) * width
-            raw, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids) * width]
-            self.pre_tokens.update((p, raw[s:e]) for p, s, e in zip(part, starts.tolist(), ends, strict=True))
-
-    def _number(self, pieces: list[str]) -> None:
-        """Remember pieces; one that begins with a space is the beginning of a text, all others follow a space."""
-        texts = [p[1:] if p[:1] == " " else " " + p for p in pieces]
-        cut = [_PRE_TOKENS.findall(t) if _SETTLED.fullmatch(t) else [t] for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.pre_tokens, ("",))
-        if new:
-            self._learn(new)
-        self.pre_tokens[""] = b""
-        find = self.pre_tokens.__getitem__
-        packed = [find(c[0]) if len(c) == 1 else b"".join(map(find, c)) for c in cut]
-        ends = np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed))) // self.dtype.itemsize
-        self.starts = np.concatenate((self.starts, self.starts[-1] + ends))
-        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(packed), self.dtype)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.pieces, self.pre_tokens = _Memory(self.dtype), _Memory(self.dtype)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, how many of each)."""
+        found = [np.asarray(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, self.dtype), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _opened(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pre-tokens that begin with their only space."""
+        ids, lengths = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
+        for i in range(0, len(texts), _JOINED):
+            ids.append(np.asarray(self.by_space.encode_batch_fast(["".join(texts[i : i + _JOINED])], add_special_tokens=False)[0].ids, self.dtype))
+            lengths.append(np.diff(np.flatnonzero(self.opens[ids[-1]]), append=len(ids[-1])))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _learn(self, pieces: list[str], numbers: np.ndarray) -> None:
+        """Remember new pieces; one that begins with a space is the beginning of a text, all others follow a space."""
+        settled = np.fromiter((_SETTLED.fullmatch(p) is not None for p in pieces), bool, len(pieces))
+        whole = [pieces[i] for i in np.flatnonzero(~settled).tolist()]
+        self.pieces.add(numbers[~settled], *self._plain([p[1:] if p[:1] == " " else " " + p for p in whole]))
+        cut = pa.array(_PRE_TOKENS.findall("".join(" " + pieces[i] for i in np.flatnonzero(settled).tolist())), pa.string()).dictionary_encode()
+        opening = pc.starts_with(cut.dictionary, " ").to_numpy(zero_copy_only=False)
+        found, new, at = self.pre_tokens.numbers(cut.dictionary.to_pylist())
+        spaced = np.fromiter((p[0] == " " for p in new), bool, len(new))
+        for chosen, encode in ((spaced, self._opened), (~spaced, self._plain)):
+            self.pre_tokens.add(at[chosen], *encode([new[i] for i in np.flatnonzero(chosen).tolist()]))
+        code = cut.indices.to_numpy()
+        ids, lengths = self.pre_tokens.gather(found[code])
+        self.pieces.add(numbers[settled], ids, _sums(lengths, np.flatnonzero(opening[code])))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Packed ids of each text, without an end id."""
-        if len(self.number) > MEMORY:
-            self._forget()
-        cut = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        for c in cut:
-            c[0] = " " + c[0]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        known = len(self.number)
-        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-        if len(self.number) > known:
-            self._number(list(islice(self.number, known, None)))
-        start = self.starts[numbers]
-        length = self.starts[numbers + 1] - start
-        ends = np.cumsum(length)
-        ids = self.ids[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))] * self.dtype.itemsize
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if len(self.pieces.number) > MEMORY:
+            self.pieces, self.pre_tokens = _Memory(self.dtype), _Memory(self.dtype)
+        parts = pc.split_pattern(texts, " ")
+        first = parts.offsets.to_numpy().astype(np.int64)
+        base, first = first[0], first - first[0]
+        words = parts.values.slice(base, first[-1]).dictionary_encode()
+        code, different = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        heads, code[first[:-1]] = np.unique(code[first[:-1]], return_inverse=True)
+        code[first[:-1]] += len(different)
+        odd = np.fromiter((p == "" or p[0].isspace() for p in different), bool, len(different))
+        different += [" " + different[i] for i in heads.tolist()]
+        # White space in a row is not always cut at its spaces: those texts are cut with care.
+        again = np.flatnonzero(_sums(np.append(odd, np.zeros(len(heads), bool))[code].astype(np.int64), first[:-1]))
+        if len(again):
+            kept = np.setdiff1d(np.arange(len(texts)), again)
+            out = dict(zip(kept.tolist(), self.encode(texts.take(pa.array(kept))), strict=True)) if len(kept) else {}
+            cut = [_CUT.split(t) for t in texts.take(pa.array(again)).to_pylist()]
+            for c in cut:
+                c[0] = " " + c[0]
+            out.update(zip(again.tolist(), self._packed([p for c in cut for p in c], None, np.cumsum([0, *map(len, cut)])), strict=True))
+            return [out[i] for i in range(len(texts))]
+        used = np.bincount(code, minlength=len(different)) > 0  # some only begin texts
+        return self._packed([different[i] for i in np.flatnonzero(used).tolist()], (np.cumsum(used) - 1)[code], first)
+
+    def _packed(self, pieces: list[str], code: np.ndarray | None, first: np.ndarray) -> list[bytes]:
+        """Packed ids of texts made of ``pieces``, taken by ``code``, that begin at ``first``."""
+        numbers, new, at = self.pieces.numbers(pieces)
+        if new:
+            self._learn(new, at)
+        ids, lengths = self.pieces.gather(numbers if code is None else numbers[code])
+        bounds = (np.append(0, np.cumsum(lengths))[first] * self.dtype.itemsize).tolist()
         raw = ids.tobytes()
-        return [raw[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return [raw[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def encoder(name: str = TOKENIZER) -> Encoder:
@@ -130,14 +172,9 @@ def encoder(name: str = TOKENIZER) -> Encoder:
     return _encoders[key]
 
 
-def encoded(column: pa.Array, name: str = TOKENIZER, limit: int = 1 << 21) -> Iterator[tuple[int, bytes]]:
+def encoded(column: pa.Array, name: str = TOKENIZER, limit: int = SLICE) -> Iterator[tuple[int, bytes]]:
     """(row, packed ids with the end id) of each text of a column, a few megabytes at a time; null is empty."""
     enc = encoder(name)
-    texts, first, size = [], 0, 0
-    for i in range(len(column)):
-        texts.append(column[i].as_py() or "")
-        size += len(texts[-1])
-        if size >= limit or i + 1 == len(column):
-            for k, ids in enumerate(enc.encode(texts)):
-                yield first + k, ids + enc.end
-            texts, first, size = [], i + 1, 0
+    for i, j, _, _ in K.text_slices(column, limit):
+        for k, ids in enumerate(enc.encode(pc.fill_null(column.slice(i, j - i), ""))):
+            yield i + k, ids + enc.end
