@@ -23,8 +23,8 @@ from . import kernels as K
 
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-MEMORY = 1_000_000  # pieces remembered at once
-SLICE = 1 << 22  # bytes of text whose pieces are looked up together
+MEMORY = 400_000  # pieces remembered at once
+SLICE = 1 << 21  # bytes of text whose pieces are looked up together
 _CUT = re.compile(r" (?=\S)")
 _SPACE_MARK = "Ġ"  # how the vocabulary writes a space
 #: Fixed value: the public pattern of byte-level pre-tokenizers.
