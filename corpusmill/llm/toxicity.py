@@ -3,8 +3,10 @@
 Terms (runs of letters, digits and non-ASCII bytes, lower case) are hashed to 2 ** 24 numbers. The machine has a bias,
 a weight for each number and a vector for each number; the dot products of the vectors of two present numbers are the
 weight of their meeting. It is fitted on a bounded sample of labelled rows in one task, by full-batch Adam with early
-stopping; only numbers that occur in ``MIN_DOCS`` sampled rows and differ between the labels get parameters, so the
-model stays small and is handed to every task. Scoring reads whole texts where they lie; texts are never shuffled.
+stopping. Numbers get parameters if they occur in ``MIN_DOCS`` sampled rows and differ between the labels, alone by
+``LEAST_Z`` or in a meeting with another number by ``PAIR_Z``; meetings are tested where ``MEETINGS`` rows would hold
+both by chance. The model stays small and is handed to every task. Scoring reads whole texts where they lie; texts are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 TRAIN_ROWS = 16_384  # the bound of the sample of labelled rows
-SPACE_BITS, FACTORS, MIN_DOCS, LEAST_Z = 24, 8, 8, 3.0
+SPACE_BITS, FACTORS, MIN_DOCS, LEAST_Z = 24, 8, 2, 3.0
+PAIR_Z, MEETINGS = 6.0, 8
 EPOCHS, RATE, DECAY, SEED = 400, 0.05, 2e-4, 5
 
 _BREAK = np.ones(256, bool)
@@ -58,6 +61,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def in_meetings(y: np.ndarray, doc: np.ndarray, index: np.ndarray, df: np.ndarray, rows: int = 4096, columns: int = 1024) -> np.ndarray:
+    """Which terms meet another one more, or less, often under label 1 than both alone explain.
+
+    That is the mean product of label and both terms, each standardized. Pairs are counted for blocks of rows and terms.
+    """
+    n, out = len(y), np.zeros(len(df), bool)
+    common = np.flatnonzero((df >= np.sqrt(MEETINGS * n)) & (df < n))
+    place = np.full(len(df), -1)
+    place[common] = np.arange(len(common))
+    held = place[index] >= 0
+    at, doc = place[index[held]], doc[held]  # grouped by document
+    share = (df[common] / n).astype(np.float32)
+    scale = np.sqrt(share * (1 - share))
+    label = ((y - y.mean()) / (y.std() * np.sqrt(n))).astype(np.float32)[:, None]
+    for c in range(0, len(common), columns):
+        z = np.zeros((len(common[c : c + columns]), len(common)), np.float32)
+        for r in range(0, n, rows):
+            s, e = np.searchsorted(doc, (r, min(n, r + rows)))
+            x = np.zeros((min(n, r + rows) - r, len(common)), np.float32)
+            x[doc[s:e] - r, at[s:e]] = 1
+            x = (x - share) / scale
+            z += (x[:, c : c + columns] * label[r : r + rows]).T @ x
+        z[np.arange(len(z)), c + np.arange(len(z))] = 0
+        out[common[(np.abs(z) >= PAIR_Z).any(axis=0)]] = True
+    return out
+
+
 def fit(labels: np.ndarray, rows: list[np.ndarray]) -> dict[str, np.ndarray]:
     """The machine for labels 0/1 and the distinct term numbers of each row; without both labels only a bias."""
     n, y = len(labels), labels.astype(float)
@@ -72,7 +102,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray]) -> dict[str, np.ndarray]:
     with_label = np.bincount(index, y[doc], minlength=len(terms))
     mean = y.mean()
     z = (with_label - df * mean) / np.sqrt(df * mean * (1 - mean))
-    used = (df >= MIN_DOCS) & (np.abs(z) >= LEAST_Z)
+    used = (df >= MIN_DOCS) & ((np.abs(z) >= LEAST_Z) | in_meetings(y, doc, index, df))
     if not used.any():
         return empty
     place = np.cumsum(used) - 1
