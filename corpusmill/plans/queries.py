@@ -72,7 +72,25 @@ def bm25_topk(spark, sf):
     return hits.select("query_id", "batch_id", "chunk_id", r6("score").alias("score"), "rank")
 
 
-FLAGSHIP = bm25_topk
+def whole(rows: DataFrame) -> DataFrame:
+    """``rows`` as one batch, so that a question searches every source."""
+    return rows.withColumn("batch_id", F.lit("all"))
+
+
+def corpus_hits(spark: SparkSession, sf: str) -> DataFrame:
+    index = bm25.build(whole(chunks_of(spark, sf)))
+    return bm25.search(index._replace(stats=F.broadcast(index.stats)), whole(questions_of(spark, sf)))
+
+
+_WIDE = _SEARCH.replace("source AS batch_id", "'all' AS batch_id").replace("'src' || (item_id % 20) AS batch_id", "'all' AS batch_id")
+
+
+@query(f"WITH {_WIDE} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM hit")
+def bm25_topk_corpus(spark, sf):
+    return corpus_hits(spark, sf).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
+
+
+FLAGSHIP = bm25_topk_corpus
 
 
 @query(f"WITH {_TERMS} SELECT batch_id, term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
@@ -169,6 +187,26 @@ def cache_hit(spark, sf):
     return dense.nearest(vectors_of(spark, sf), vector_queries(spark, sf), CACHE_SCORE).withColumn("score", r6("score"))
 
 
+def wide_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and every fiftieth as a question to all; questions are sent to the tasks that hold vectors."""
+    v = table(spark, sf, "embeddings").where(F.col("vec_id") % 50 == 0)
+    asked = v.select(F.col("vec_id").alias("query_id"), F.lit("all").alias("batch_id"), F.col("embedding").alias("query_vector"))
+    return whole(vectors_of(spark, sf)), F.broadcast(asked)
+
+
+_WIDE_DENSE = _DENSE.replace("q.label = v.label WHERE q.vec_id % 10 = 0", "q.vec_id % 50 = 0")
+
+
+@query(f"WITH {_WIDE_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM dr WHERE rank <= 60 AND score >= 0.3")
+def dense_topk_corpus(spark, sf):
+    return dense.search(*wide_vectors(spark, sf)).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
+
+
+@query(f"WITH {_WIDE_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score FROM dr WHERE rank = 1 AND score >= 0.96")
+def cache_hit_corpus(spark, sf):
+    return dense.nearest(*wide_vectors(spark, sf), CACHE_SCORE).select("query_id", "chunk_id", r6("score").alias("score"))
+
+
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda w: w <> '')"
 
@@ -340,7 +378,7 @@ def graph_expand_2hop(spark, sf):
 @query()
 def retrieve_end_to_end(spark, sf):
     chunks = chunks_of(spark, sf).withColumn("document_id", F.col("chunk_id")).withColumn("section_title", F.lit(""))
-    found = retrieval.retrieve(chunks, questions_of(spark, sf))
+    found = retrieval.retrieve(whole(chunks), whole(questions_of(spark, sf)))
     return found.select("query_id", "chunk_id", *(r6(c).alias(c) for c in ("score", "rerank_score", "final_score")), "rank")
 
 
@@ -357,6 +395,18 @@ def rerank_lexical(spark, sf):
     return retrieval.lexical_score(full, "text", "body").select("query_id", "chunk_id", r6("rerank_score").alias("rerank_score"))
 
 
+@query(
+    rf"""WITH {_WIDE}, q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({_STOPS}))) AS w FROM benchmark),
+d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({_STOPS}))) AS w FROM documents)
+SELECT query_id, chunk_id, round(CASE WHEN len(q.w) > 0 THEN len(list_intersect(q.w, d.w))::DOUBLE / len(q.w) ELSE 0 END, 6) AS rerank_score
+FROM hit JOIN q ON q.item_id = query_id JOIN d ON d.doc_id = chunk_id"""
+)
+def rerank_lexical_corpus(spark, sf):
+    body = chunks_of(spark, sf).select("chunk_id", F.col("text").alias("body"))
+    full = corpus_hits(spark, sf).join(body, "chunk_id").join(questions_of(spark, sf).select("query_id", "text"), "query_id")
+    return retrieval.lexical_score(full, "text", "body").select("query_id", "chunk_id", r6("rerank_score").alias("rerank_score"))
+
+
 @query(
     f"""WITH {_FOLD}, o AS (SELECT query_id, chunk_id, max(score) AS score, list(channel) AS origins FROM fold GROUP BY ALL), u AS (SELECT unnest(origins) AS origin, score >= 0.2::DOUBLE AS ok FROM o)
 SELECT origin, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected, round(count(*) FILTER (ok)::DOUBLE / count(*), 6) AS acceptance FROM u GROUP BY 1"""
