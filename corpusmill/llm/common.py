@@ -50,5 +50,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def ids_tell_rows(docs: DataFrame) -> bool:
+    """Whether no doc_id is null or repeated."""
+    return docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

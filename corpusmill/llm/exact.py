@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import ids_tell_rows, materialize
 
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
 
@@ -74,9 +74,15 @@ def _verified(texts: DataFrame, light: DataFrame, store: DataFrame, clashes: Dat
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay."""
-    kept = dedup_table(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """The rows of ``docs``, with all their columns, that stay, as ``dedup_table`` says.
+
+    Where doc_ids are null or repeated, a row is told by doc_id and text.
+    """
+    kept = dedup_table(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+    if not ids_tell_rows(docs):
+        same &= F.sha2(normalized(F.col("text")), 256) == F.col("_kept_text")
+    return docs.join(kept, same, "left_semi")
 
 
 ORACLE_SQL = r"""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize
+from .common import ids_tell_rows, materialize
 from .components import components
 
 N_HASHES, BANDS, ROWS, BATCH = 128, 32, 4, 16
@@ -213,6 +213,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of the smallest doc_id of each group."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """The rows of ``docs``, with all their columns, of the smallest doc_id of each group; null comes last.
+
+    Where doc_ids are null or repeated, doc_id and text together are the id: one doc_id with two texts is two documents,
+    and rows that repeat both are kept or dropped together.
+    """
+    if ids_tell_rows(docs):
+        kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+        return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    keys = docs.select(F.col("doc_id").alias("_id"), text.alias("_text")).distinct().orderBy(F.col("_id").asc_nulls_last(), "_text")
+    keys = materialize(keys.withColumn("_number", F.monotonically_increasing_id()), "numbers")  # in the order of the keys
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_text"))
+    numbered = docs.select("doc_id", "text").join(keys, same).select(F.col("_number").alias("doc_id"), "text")
+    kept = near_duplicates(numbered).where("kept").select(F.col("doc_id").alias("_number")).distinct()
+    return docs.join(keys.join(kept, "_number", "left_semi"), same, "left_semi")
