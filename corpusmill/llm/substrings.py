@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize, partitions
+from .common import ids_tell_rows, materialize, partitions
 
 LENGTH, ANCHOR = 100, 32
 STRINGS = LENGTH - ANCHOR + 1  # anchors to choose from in a window
@@ -371,10 +371,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``.
 
-    Null text counts as empty; texts under 100 bytes are kept whole. A null doc_id comes before all others. Rows that
-    repeat a doc_id with the same text are one document: they don't repeat each other. Other columns are ignored.
+    Null text counts as empty; texts under 100 bytes are kept whole. A null doc_id comes before all others, and each row
+    with one is a document. Rows that repeat a doc_id with the same text are one document: they don't repeat each other;
+    with different texts they are different documents. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if ids_tell_rows(docs):
+        return _removed(docs)
+    ordered = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy(F.col("doc_id").asc_nulls_first(), "digest")
+    rows = materialize(ordered.withColumn("row", F.monotonically_increasing_id()), "numbered")  # in the order of the documents
+    first = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.min("row").alias("first"))
+    names = materialize(rows.select("doc_id", "digest", "row").join(first, ["doc_id", "digest"], "left").select("row", "doc_id", F.coalesce("first", "row").alias("number")), "names")
+    numbered = rows.select("row", "text").join(names, "row").select(F.col("number").alias("doc_id"), "text")
+    found = _removed(numbered).withColumnRenamed("doc_id", "number")
+    return found.join(names.where("row = number").select("number", "doc_id"), "number").select("doc_id", *found.columns[1:])
+
+
+def _removed(docs: DataFrame) -> DataFrame:
+    """``remove_repeats`` of documents whose doc_id stands for one text."""
     spans = materialize(repeated_spans(docs), "spans")
     lists = spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("s"))
     lists = lists.select("doc", F.col("s.low").alias("lows"), F.col("s.high").alias("highs"))
