@@ -30,14 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _file(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    system, target = _file(spark, path)
+    system.deleteOnExit(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = _file(spark, path)
+    system.delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors, removed at JVM exit."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

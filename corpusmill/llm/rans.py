@@ -8,7 +8,6 @@ can start anywhere. Token i of a block belongs to lane i modulo the number of la
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,21 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir
+from .common import partitions, remove, remove_at_exit, scratch
 from .tokens import TOKENIZER, encoded, encoder
 
 BITS, LANES, STEPS = 18, 1024, 128  # precision of the tables; lanes of a block; steps between checkpoints
 BLOCK_TOKENS = 1 << 18
 LOW, WORD = np.uint64(1 << 31), np.uint64(32)
+_TALLY = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
+_SCHEMA = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("tally", _TALLY)])
+_SCHEMA_DDL = "part int, doc_id long, n_tokens long, ids binary, tally array<struct<id:int,n:long>>"
 _BLOCK = pa.schema(
     [
-        ("block", pa.string()), ("part", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_tokens", pa.int64()),
+        ("part", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("lanes", pa.int32()), ("words", pa.binary()),
         ("checkpoints", pa.list_(pa.struct([("step", pa.int32()), ("word", pa.int64()), ("states", pa.binary()), ("crc32", pa.int64())]))),
     ]
 )
 _BLOCK_DDL = (
-    "block string, part int, first_doc long, last_doc long, n_tokens long, doc_ids array<long>, lengths array<long>, lanes int, words binary, "
+    "part int, block int, n_tokens long, doc_ids array<long>, lengths array<long>, lanes int, words binary, "
     "checkpoints array<struct<step:int,word:long,states:binary,crc32:long>>"
 )
 
@@ -117,8 +119,11 @@ def decode_block(n: int, lanes: int, words: np.ndarray, points: list[tuple[int,
 
 
 def _tokenized(name: str, bounds: list[int]):
+    """Ids of each text and, as a last row of each task, how often it met each id."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, ends = encoder(name).dtype.itemsize, np.array(bounds, np.int64)
+        enc = encoder(name)
+        width, ends, counts = enc.dtype.itemsize, np.array(bounds, np.int64), np.zeros(enc.size, np.int64)
         for batch in batches:
             found, size, start = [], 0, 0
             for i, packed in encoded(batch.column(1), name):
@@ -127,23 +132,14 @@ def _tokenized(name: str, bounds: list[int]):
                 if size >= 1 << 23 or i + 1 == len(batch):
                     ids = batch.column(0).slice(start, len(found))
                     part = np.searchsorted(ends, ids.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
+                    counts += np.bincount(np.frombuffer(b"".join(found), enc.dtype), minlength=enc.size)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(part), ids, pa.array([len(x) // width for x in found], pa.int64()), pa.array(found, pa.binary())],
-                        ["part", "doc_id", "n_tokens", "ids"],
+                        [pa.array(part), ids, pa.array([len(x) // width for x in found], pa.int64()), pa.array(found, pa.binary()), pa.nulls(len(found), _TALLY)], _SCHEMA.names
                     )
                     start, found, size = i + 1, [], 0
-
-    return rows
-
-
-def _counted(dtype: str, size: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                counts += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=size)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["id", "n"])
+        tally = [{"id": i, "n": n} for i, n in zip(some.tolist(), counts[some].tolist(), strict=True)]
+        yield pa.RecordBatch.from_pylist([{"part": None, "doc_id": None, "n_tokens": None, "ids": None, "tally": tally}], _SCHEMA)
 
     return rows
 
@@ -152,23 +148,23 @@ def _blocks(freq: np.ndarray, dtype: str, block_tokens: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(freq)
         held: list[tuple] = []  # (part, doc_id, ids)
-        size = 0
+        size = number = 0
 
         def flush():
             ids = np.concatenate([x for _, _, x in held])
             lanes, words, points = encode_block(ids, tables)
             row = {
-                "block": uuid.uuid4().hex, "part": held[0][0], "first_doc": held[0][1], "last_doc": held[-1][1], "n_tokens": len(ids),
+                "part": held[0][0], "block": number, "n_tokens": len(ids),
                 "doc_ids": [d for _, d, _ in held], "lengths": [len(x) for _, _, x in held], "lanes": lanes, "words": words.tobytes(),
                 "checkpoints": [{"step": s, "word": w, "states": states.tobytes(), "crc32": crc} for s, w, states, crc in points],
             }
             return pa.RecordBatch.from_pylist([row], _BLOCK)
 
-        key = lambda d: -(1 << 63) if d is None else d
         for batch in batches:
             for part, doc, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if held and (part != held[-1][0] or key(doc) < key(held[-1][1]) or size >= block_tokens):
+                if held and (part != held[-1][0] or size >= block_tokens):
                     yield flush()
+                    number = number + 1 if part == held[-1][0] else 0
                     held, size = [], 0
                 held.append((part, doc, np.frombuffer(packed.as_buffer(), dtype)))
                 size += len(held[-1][2])
@@ -179,24 +175,32 @@ def _blocks(freq: np.ndarray, dtype: str, block_tokens: int):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Encode every row of ``docs`` in ascending doc_id order under ``path``. Null text counts as empty, null ids come first."""
+    """Encode every row of ``docs`` in ascending doc_id order under ``path``.
+
+    Null and empty texts are an end id alone; null ids come first; of rows that repeat a doc_id the shorter comes first,
+    then the one with the smaller checksum. A very long text is one block. Other columns are ignored; an empty table
+    gives files without blocks.
+    """
     spark = docs.sparkSession
     enc = encoder(tokenizer)
     n = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     share = [i / n for i in range(1, n)]
     bounds = (rows.select(F.percentile_approx("doc_id", share, 10000)).first()[0] or []) if share else []
-    tokens = rows.mapInArrow(_tokenized(tokenizer, sorted(set(bounds))), "part int, doc_id long, n_tokens long, ids binary")
-    tokens.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens").write.option("compression", "zstd").parquet(f"{path}/ids")
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the finished shuffle's files
-    ids = spark.read.parquet(f"{path}/ids")
-    tally = ids.select("ids").mapInArrow(_counted(enc.dtype.str, enc.size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    # The ids wait in a table for the frequencies of all of them.
+    kept = f"{path}/ids"
+    rows.mapInArrow(_tokenized(tokenizer, sorted(set(bounds))), _SCHEMA_DDL).write.option("compression", "zstd").parquet(kept)
+    found = spark.read.schema(_SCHEMA_DDL).parquet(kept)
+    tally = found.where("tally IS NOT NULL").select(F.explode("tally").alias("t")).groupBy("t.id").agg(F.sum("t.n").alias("n"))
     counts = np.zeros(enc.size, np.int64)
     for r in tally.collect():  # at most the vocabulary
         counts[r["id"]] = r["n"]
     freq = scaled(counts)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id int, freq long").coalesce(1).write.parquet(f"{path}/tables")
-    ids.select("part", "doc_id", "ids").mapInArrow(_blocks(freq, enc.dtype.str, block_tokens), _BLOCK_DDL).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ids = found.where("ids IS NOT NULL").select("part", "doc_id", "ids", "n_tokens").repartitionById(n, F.col("part"))
+    ordered = ids.sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens", F.crc32("ids")).select("part", "doc_id", "ids")
+    ordered.mapInArrow(_blocks(freq, enc.dtype.str, block_tokens), _BLOCK_DDL).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    remove(spark, kept)
 
 
 def _decoded(freq: np.ndarray):
@@ -211,8 +215,8 @@ def _decoded(freq: np.ndarray):
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]] * len(lengths)), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
-                    ["block", "doc_id", "at", "n_tokens", "ids_crc32"],
+                    [pa.array([row[k]] * len(lengths), pa.int32()) for k in ("part", "block")] + [pa.array(row["doc_ids"], pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
+                    ["part", "block", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
     return rows
@@ -225,19 +229,20 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     for r in table:
         freq[r["id"]] = r["freq"]
     blocks = spark.read.schema(_BLOCK_DDL).parquet(f"{path}/blocks")
-    index = blocks.select("block", "part", "first_doc", "last_doc", "n_tokens")
-    parts = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # as many rows as ranges
+    index = blocks.select("part", "block", "n_tokens")
+    parts = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # as many rows as ranges of doc_ids
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    order = Window.partitionBy("part").orderBy(F.asc_nulls_first("first_doc"), F.asc_nulls_first("last_doc"), "block").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     starts = index.withColumn("before", F.sum("n_tokens").over(order) - F.col("n_tokens")).join(F.broadcast(base), "part")
-    starts = starts.select("block", (F.col("base") + F.col("before")).alias("begin"))
-    found = blocks.mapInArrow(_decoded(freq), "block string, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return found.join(starts, "block").select("doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    starts = starts.select("part", "block", (F.col("base") + F.col("before")).alias("begin"))
+    found = blocks.mapInArrow(_decoded(freq), "part int, block int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return found.join(starts, ["part", "block"]).select("doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Encode ``docs`` into the session's shared folder and read the files back."""
+    """Encode ``docs`` into the session's shared folder and read the files back; they go when the session ends."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "tokens")
     write_tokens(docs, path, tokenizer)
+    remove_at_exit(spark, path)
     return read_tokens(spark, path)
