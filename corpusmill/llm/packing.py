@@ -2,10 +2,12 @@
 
 Lengths are integers up to the size of a sequence, so the histogram of lengths has at most that many entries however
 large the corpus is. The plan is made from it alone: lengths over ``small`` are cut into groups of equal cardinality
-and rounded up to the longest of their group; configurations of the few rounded sizes are chosen, each used as often
-as the supply allows; the actual lengths take the places of the rounded ones; the space that is left is filled with
-the small lengths by best fit. The plan says where the documents of a length go by their rank among equals, and ranks
-come from a distributed count; documents never visit the driver.
+and rounded up to the longest of their group; configurations of the rounded sizes are chosen, each the fullest one for
+the largest size left and used as often as the supply allows; the actual lengths take the places of the rounded ones;
+the space that is left is filled with the small lengths by best fit. Few groups make few configurations but waste more
+by rounding, so plans are made for several numbers of groups, and the one with the fewest sequences is used. The plan
+says where the documents of a length go by their rank among equals, and ranks come from a distributed count; documents
+never visit the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import TOKENIZER, encoded, encoder
 
-SEQUENCE, SMALL, GROUPS, SALTS = 2048, 256, 1024, 64
+SEQUENCE, SMALL, GROUPS = 2048, 256, (64, 128, 256, 512, 1024)
+SALT_ROWS = 10_000  # pieces of one length that are ranked in one task, about
+BROADCAST_SALTS = 1_000_000  # rows of 24 bytes that are sent to every task at most
 
 
 def _piece_rows(size: int, name: str):
@@ -114,7 +118,12 @@ class _Plan:
         self.rank[length] = at + n
 
 
-def plan(counts: dict[int, int], capacity: int = SEQUENCE, small: int = SMALL, n_groups: int = GROUPS) -> tuple[np.ndarray, int]:
+def best_plan(counts: dict[int, int], capacity: int = SEQUENCE, small: int = SMALL, groups: tuple[int, ...] = GROUPS) -> tuple[np.ndarray, int]:
+    """The plan with the fewest sequences, of several with the fewest groups."""
+    return min((plan(counts, capacity, small, n) for n in groups), key=lambda p: p[1])
+
+
+def plan(counts: dict[int, int], capacity: int = SEQUENCE, small: int = SMALL, n_groups: int = GROUPS[-1]) -> tuple[np.ndarray, int]:
     """(runs sorted by length and rank, sequences) for a histogram of lengths of 1 to ``capacity``."""
     out = _Plan()
     groups = groups_of({k: v for k, v in counts.items() if k > small and v}, n_groups)
@@ -191,20 +200,25 @@ def _place(runs: np.ndarray):
     return rows
 
 
-def pack(docs: DataFrame, size: int = SEQUENCE, tokenizer: str = TOKENIZER, small: int = SMALL, n_groups: int = GROUPS) -> DataFrame:
+def pack(docs: DataFrame, size: int = SEQUENCE, tokenizer: str = TOKENIZER, small: int = SMALL, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row of ``docs``.
 
-    Null and empty texts are one end id. Rows that repeat a doc_id are packed each on its own. Other columns are
-    ignored. An empty table gives no rows.
+    Null and empty texts are one end id; only texts longer than a sequence are cut, into whole sequences and a shorter
+    first piece. Rows that repeat a doc_id, null ones too, are packed each on its own; which of equal pieces comes
+    first is open. Other columns are ignored. An empty table gives no rows.
     """
-    cut = materialize(pieces(docs, size, tokenizer).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))), "pieces")
-    # At most size * SALTS rows, whatever the corpus: these are broadcast, their sums by length go to the driver.
-    tally = materialize(cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs, _ = plan(counts, size, small, n_groups)
+    spark = docs.sparkSession
+    cut = materialize(pieces(docs, size, tokenizer), "pieces")
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
+    runs, _ = best_plan(counts, size, small, groups)
+    salts = {length: -(-n // SALT_ROWS) for length, n in counts.items()}
+    table = spark.createDataFrame(list(salts.items()), "length long, salts int")
+    salted = cut.join(F.broadcast(table), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
+    tally = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = tally.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = cut.join(F.broadcast(before), ["length", "salt"]).withColumn(
-        "rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
+    before = F.broadcast(before) if sum(salts.values()) <= BROADCAST_SALTS else before
+    ranked = salted.join(before, ["length", "salt"]).withColumn(
+        "rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     )
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         _place(runs), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
