@@ -5,8 +5,10 @@ ties. Equal windows have their anchor at the same place, so only suffixes at anc
 compared. A stretch of windows with one anchor, and the bytes they span, is the anchor's context.
 
 1. Tasks find anchors and contexts; of equal contexts in some megabytes of text only the first travels, the others are repeats.
-2. Anchors meet by the hash of their string. A context equal to an earlier one is repeated as a whole. Where one
-   anchor has different contexts, as at the edges of repeats and edits, the contexts' first occurrences go on.
+2. Anchors meet by the hash of their string. A context equal to an earlier one, by two hashes of its bytes to different
+   bases with 112 bits together, is repeated as a whole. Where one anchor has different contexts, as at the edges of
+   repeats and edits, the contexts' first occurrences go on. The contexts of an anchor with very many are dealt by the
+   34 bytes before it and again by the 34 after it: two equal windows agree in one of these at least.
 3. Those contexts' bytes are fetched and the suffixes at their windows are sorted by merging: the common extension of
    two suffixes is found by binary search over prefix polynomial hashes, so a comparison takes a logarithmic number
    of steps; neighbours that seem equal are verified byte by byte.
@@ -31,7 +33,9 @@ LENGTH, ANCHOR = 100, 32
 STRINGS = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 SEGMENT = 1 << 22
 ANCHOR_SLICE, AT_HAND = 1 << 20, 1 << 23  # bytes read at once; bytes whose anchors are combined before they travel
-BROADCAST_ROWS = 4_000_000  # spans or contexts, 24 bytes each, that are sent to every task at most
+BROADCAST_ROWS = 2_000_000  # spans or contexts that are sent to every task at most, 48 bytes each, so 96 MB
+HOT_CONTEXTS, BESIDE = 2_000, 34  # different contexts from which on an anchor's are dealt by the bytes beside it; half of LENGTH - ANCHOR
+_OTHER_BASE = 0x2545F4914F6CDD1D
 NO_ID = -(1 << 63)  # stands for a null doc_id, and comes first
 
 
@@ -45,9 +49,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, document, first window, anchor - first window, last window - first window).
+    """(anchor hash, context hash, document, first window, shape).
 
-    Windows are counted from the document's beginning. Long buffers are read in overlapping segments.
+    A shape has the last window - first window in 8 bits, the anchor - first window in the next 7, a place for a mark,
+    and 48 bits of a second context hash. Windows are counted from the document's beginning. Long buffers are read in overlapping segments.
     """
     out = []
     for at in range(0, max(1, len(data) - LENGTH + 1), SEGMENT):
@@ -71,14 +76,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         p = owner[a]
         span = (h[b + LENGTH] - h[a]) * turn[a]
         context = K.mix(K.mix(span ^ np.uint64(0x9FB21C651E98DF25)) + (p - a).astype(np.uint64) * np.uint64(0x100000001B3) + (b - a).astype(np.uint64))
+        other = K.prefix_hash(part, _OTHER_BASE)
+        check = K.mix((other[b + LENGTH] - other[a]) * K.powers(K.inverse(_OTHER_BASE), len(part) + 1)[a]) >> np.uint64(16)
         d = doc[a]
-        out.append((strings[p], context, d, a + at - offsets[d], p - a, b - a))
+        out.append((strings[p], context, d, a + at - offsets[d], (check << np.uint64(16)).view(np.int64) | (p - a) << 8 | (b - a)))
     if not out:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_ANCHOR_DDL = "route long, context long, doc long, low long, shape int, high long"
+_ANCHOR_DDL = "route long, context long, doc long, low long, shape long, high long"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +94,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         ids = batch.column(0).fill_null(NO_ID).to_numpy()
         for i, j, data, offsets in K.text_slices(batch.column(1), ANCHOR_SLICE):
-            kmer, context, doc, low, lead, more = anchors(data, offsets)
-            found.append((kmer.view(np.int64), context.view(np.int64), ids[i + doc], low, lead << 8 | more))
+            kmer, context, doc, low, shape = anchors(data, offsets)
+            found.append((kmer.view(np.int64), context.view(np.int64), ids[i + doc], low, shape))
             held += len(data)
             if held >= AT_HAND or j == len(batch):
                 yield _combined(found)
@@ -97,10 +104,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _combined(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     kmer, context, doc, low, shape = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((low, doc, context, kmer))
-    k, c, d, s = kmer[order], context[order], doc[order], low[order]
+    order = np.lexsort((low, doc, shape, context, kmer))
+    k, c, d, s, f = kmer[order], context[order], doc[order], low[order], shape[order]
     new = np.ones(len(order), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (f[1:] != f[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     again = np.zeros(len(order), bool)
     again[order] = ~new & ((d != d[head]) | (s != s[head]))
@@ -115,7 +122,7 @@ def _combined(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             pa.array(np.concatenate((context[keep], np.zeros(len(lo), np.int64)))),
             pa.array(np.concatenate((doc[keep], owner))),
             pa.array(np.concatenate((low[keep], lo))),
-            pa.array(np.concatenate((shape[keep], np.zeros(len(lo), np.int64))).astype(np.int32)),
+            pa.array(np.concatenate((shape[keep], np.zeros(len(lo), np.int64)))),
             pa.array(np.concatenate((np.zeros(n, np.int64), hi)), mask=np.arange(n + len(lo)) < n),
         ],
         ["route", "context", "doc", "low", "shape", "high"],
@@ -160,37 +167,53 @@ def _by_group(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterat
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-_FOUND_DDL = "doc long, low long, high long, route long, shape int"
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors sorted by (route, context, doc, low): repeats (``high`` set) and contexts to compare (``high`` null)."""
-    for table in _by_group(batches):
-        done = pc.is_valid(table.column("high")).to_numpy()
-        kmer, context, doc, low, shape = (table.column(c).to_numpy() for c in ("route", "context", "doc", "low", "shape"))
-        given = table.column("high").fill_null(0).to_numpy()
-        k, c = kmer[~done], context[~done]
-        d, s, f = doc[~done], low[~done], shape[~done].astype(np.int64)
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0)) if len(k) else np.empty(0, np.int64)
-        again = ~new & ((d != d[head]) | (s != s[head]))
-        group = np.cumsum(np.concatenate((np.ones(min(1, len(k)), np.int64), (k[1:] != k[:-1]).astype(np.int64)))) - 1
-        several = (np.bincount(group[new], minlength=1)[group] > 1) & new if len(k) else new
-        o = [doc[done], d[again], d[several]]
-        lo = [low[done], s[again], s[several]]
-        hi = [given[done], s[again] + (f[again] & 255) + LENGTH, np.zeros(several.sum(), np.int64)]
-        route = [np.zeros(done.sum() + again.sum(), np.int64), k[several]]
-        form = [np.zeros(done.sum() + again.sum(), np.int64), f[several]]
-        n = int(done.sum() + again.sum())
-        total = n + int(several.sum())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(o)), pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi), mask=np.arange(total) >= n),
-                pa.array(np.concatenate(route)), pa.array(np.concatenate(form).astype(np.int32)),
-            ],
-            ["doc", "low", "high", "route", "shape"],
-        )
+_FOUND_DDL = "doc long, low long, high long, route long, shape int"  # of a shape only windows, anchor and mark are left
+
+
+def _meet(hot_contexts: int):
+    """From anchors sorted by (route, context, shape, doc, low): repeats (``high`` set) and contexts to compare (``high`` null)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_group(batches):
+            done = pc.is_valid(table.column("high")).to_numpy()
+            kmer, context, doc, low, shape = (table.column(c).to_numpy() for c in ("route", "context", "doc", "low", "shape"))
+            given = table.column("high").fill_null(0).to_numpy()
+            k, c = kmer[~done], context[~done]
+            d, s, f = doc[~done], low[~done], shape[~done]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (f[1:] != f[:-1])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0)) if len(k) else np.empty(0, np.int64)
+            again = ~new & ((d != d[head]) | (s != s[head]))
+            group = np.cumsum(np.concatenate((np.ones(min(1, len(k)), np.int64), (k[1:] != k[:-1]).astype(np.int64)))) - 1
+            different = np.bincount(group[new], minlength=1)[group] if len(k) else np.empty(0, np.int64)
+            several = (different > 1) & new
+            f = f & 0x7FFF | (different > hot_contexts).astype(np.int64) << 15
+            o = [doc[done], d[again], d[several]]
+            lo = [low[done], s[again], s[several]]
+            hi = [given[done], s[again] + (f[again] & 255) + LENGTH, np.zeros(several.sum(), np.int64)]
+            route = [np.zeros(done.sum() + again.sum(), np.int64), k[several]]
+            form = [np.zeros(done.sum() + again.sum(), np.int64), f[several]]
+            n = int(done.sum() + again.sum())
+            total = n + int(several.sum())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(o)), pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi), mask=np.arange(total) >= n),
+                    pa.array(np.concatenate(route)), pa.array(np.concatenate(form).astype(np.int32)),
+                ],
+                ["doc", "low", "high", "route", "shape"],
+            )
+
+    return rows
+
+
+def _routes(route: int, raw: bytes, anchor: int, lead: int, more: int) -> list[int]:
+    """Where the contexts of a hot anchor meet: those with the same bytes before it, and those with the same after it."""
+    sides = []
+    if lead >= BESIDE:
+        sides.append(b"<" + raw[anchor - BESIDE : anchor])
+    if lead - more <= BESIDE:
+        sides.append(b">" + raw[anchor + ANCHOR : anchor + ANCHOR + BESIDE])
+    return [int.from_bytes(hashlib.blake2b(route.to_bytes(8, "little", signed=True) + x, digest_size=8).digest(), "little", signed=True) for x in sides]
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +226,10 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for r in range(i, j):
                 base = int(offsets[r - i])
                 for w in batch.column(2)[r].as_py():
-                    s = base + w["low"]
-                    route.append(w["route"]), doc.append(ids[r]), low.append(w["low"]), shape.append(w["shape"])
-                    part.append(raw[s : s + (w["shape"] & 255) + LENGTH])
+                    s, lead, more = base + w["low"], w["shape"] >> 8 & 127, w["shape"] & 255
+                    for k in _routes(w["route"], raw, s + lead, lead, more) if w["shape"] >> 15 else (w["route"],):
+                        route.append(k), doc.append(ids[r]), low.append(w["low"]), shape.append(w["shape"] & 0x7FFF)
+                        part.append(raw[s : s + more + LENGTH])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(route, pa.int64()), pa.array(doc, pa.int64()), pa.array(low, pa.int64()), pa.array(shape, pa.int32()), pa.array(part, pa.binary())],
                 ["route", "doc", "low", "shape", "bytes"],
@@ -317,10 +341,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From contexts sorted by (route, doc, low): spans that are repeated."""
     for table in _by_group(batches, 20_000):
         route, doc, low, shape = (table.column(c).to_numpy() for c in ("route", "doc", "low", "shape"))
-        column = table.column("bytes").combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        column = pa.chunked_array([c.cast(pa.large_binary()) for c in table.column("bytes").chunks]).combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
         _, where, raw = column.buffers()
-        offsets = np.frombuffer(where, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]
         group = np.cumsum(np.concatenate(([0], (route[1:] != route[:-1]).astype(np.int64))))
         c, w0, w1 = repeats(group, data, offsets - offsets[0], shape.astype(np.int64) >> 8, shape.astype(np.int64) & 255)
@@ -350,47 +374,47 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _beside(docs: DataFrame, lists: DataFrame, rows: int, how: str) -> DataFrame:
+def _beside(docs: DataFrame, lists: DataFrame, few: bool, how: str) -> DataFrame:
     """``docs`` joined with lists by document: where the texts lie while the lists are small, else by shuffling both."""
-    return docs.join(F.broadcast(lists) if rows <= BROADCAST_ROWS else lists, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc"), how)
+    return docs.join(F.broadcast(lists) if few else lists, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc"), how)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc, low, high): byte spans of ``docs`` (doc_id, text) covered by strings that start earlier as well."""
     n = partitions(docs.sparkSession)
-    met = docs.mapInArrow(_anchor_rows, _ANCHOR_DDL).repartition(n, "route").sortWithinPartitions("route", "context", "doc", "low")
-    met = materialize(met.mapInArrow(_meet, _FOUND_DDL), "met")
+    met = docs.mapInArrow(_anchor_rows, _ANCHOR_DDL).repartition(n, "route").sortWithinPartitions("route", "context", "shape", "doc", "low")
+    met = materialize(met.mapInArrow(_meet(hot_contexts), _FOUND_DDL), "met")
     open_ = met.where("high IS NULL")
     lists = open_.groupBy("doc").agg(F.collect_list(F.struct("route", "low", "shape")).alias("wanted"))
-    texts = _beside(docs, lists, open_.count(), "inner").select("doc_id", "text", "wanted")
-    contexts = texts.mapInArrow(_cut_contexts, "route long, doc long, low long, shape int, bytes binary").dropDuplicates(["doc", "low", "shape"])
+    texts = _beside(docs, lists, open_.count() <= broadcast_rows, "inner").select("doc_id", "text", "wanted")
+    contexts = texts.mapInArrow(_cut_contexts, "route long, doc long, low long, shape int, bytes binary").dropDuplicates(["route", "doc", "low", "shape"])
     compared = contexts.repartition(n, "route").sortWithinPartitions("route", "doc", "low").mapInArrow(_compare, "doc long, low long, high long")
     return met.where("high IS NOT NULL").select("doc", "low", "high").unionByName(compared)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``.
 
-    Null text counts as empty; texts under 100 bytes are kept whole. A null doc_id comes before all others, and each row
+    Null text counts as empty; texts under 100 bytes are kept whole; very long ones are read whole, in segments. A null doc_id comes before all others, and each row
     with one is a document. Rows that repeat a doc_id with the same text are one document: they don't repeat each other;
     with different texts they are different documents. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if ids_tell_rows(docs):
-        return _removed(docs)
+        return _removed(docs, hot_contexts, broadcast_rows)
     ordered = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).orderBy(F.col("doc_id").asc_nulls_first(), "digest")
     rows = materialize(ordered.withColumn("row", F.monotonically_increasing_id()), "numbered")  # in the order of the documents
     first = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.min("row").alias("first"))
     names = materialize(rows.select("doc_id", "digest", "row").join(first, ["doc_id", "digest"], "left").select("row", "doc_id", F.coalesce("first", "row").alias("number")), "names")
     numbered = rows.select("row", "text").join(names, "row").select(F.col("number").alias("doc_id"), "text")
-    found = _removed(numbered).withColumnRenamed("doc_id", "number")
+    found = _removed(numbered, hot_contexts, broadcast_rows).withColumnRenamed("doc_id", "number")
     return found.join(names.where("row = number").select("number", "doc_id"), "number").select("doc_id", *found.columns[1:])
 
 
-def _removed(docs: DataFrame) -> DataFrame:
+def _removed(docs: DataFrame, hot_contexts: int, broadcast_rows: int) -> DataFrame:
     """``remove_repeats`` of documents whose doc_id stands for one text."""
-    spans = materialize(repeated_spans(docs), "spans")
+    spans = materialize(repeated_spans(docs, hot_contexts, broadcast_rows), "spans")
     lists = spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("s"))
     lists = lists.select("doc", F.col("s.low").alias("lows"), F.col("s.high").alias("highs"))
-    held = _beside(docs, lists, spans.count(), "left").select("doc_id", "text", "lows", "highs")
+    held = _beside(docs, lists, spans.count() <= broadcast_rows, "left").select("doc_id", "text", "lows", "highs")
     return held.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
