@@ -20,7 +20,7 @@ def energy(mean_volume: Column) -> Column:
 
 
 def emphasis(text: Column) -> Column:
-    """Factor for a word in capitals and for repeated exclamation marks, at most 1.5."""
+    """Factor for a word in capitals and for more than one exclamation mark, at most 1.5."""
     caps = F.when(text.rlike(r"\b[A-Z]{3,}\b"), 0.2).otherwise(0.0)
-    marks = F.when(text.rlike("!{2,}"), 0.2).otherwise(0.0)
+    marks = F.when(F.regexp_count(text, F.lit("!")) > 1, 0.2).otherwise(0.0)
     return F.least(F.lit(1.5), 1.0 + caps + marks)

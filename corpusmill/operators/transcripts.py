@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BLOCK_GAP, BLOCK_SECONDS, OPEN_UNIT_SECONDS, UNIT_CONFIDENCE
+from ..config import BLOCK_GAP, BLOCK_SECONDS, OPEN_UNIT_SECONDS, PROSODY, PROSODY_INERTIA, PROSODY_LEAD, PROSODY_LIMITS, PROSODY_SLOWER, UNIT_CONFIDENCE
+from ..functions.speech import emphasis
 
 
 def flatten(segments: DataFrame) -> DataFrame:
@@ -88,25 +91,49 @@ def phases(lines: DataFrame) -> DataFrame:
     return soft.withColumn("emotion", F.coalesce("emotion", fill[F.col("phase")])).drop("base")
 
 
-# What marks an emotion in a line, in the order of preference.
+# What marks an emotion in a line of small letters, in the order of preference.
 CUES = {
-    "EXCITED": r"(?i)\b(?:wow|amazing|incredible|fantastic|exciting)\b|!",
-    "INQUISITIVE": r"(?i)\b(?:why|how|what if|wonder|curious)\b|\?",
-    "REFLECTIVE": r"(?i)\b(?:perhaps|maybe|consider|think about|reflect)\b",
-    "SERIOUS": r"(?i)\b(?:however|important|critical|danger|must)\b",
+    "EXCITED": (r"!+", r"\bwow\b", r"\bamazing\b"),
+    "INQUISITIVE": (r"\?+", r"\breally\b", r"\bhow\b"),
+    "REFLECTIVE": (r"\.\.\.", r"\bhmm\b"),
+    "SERIOUS": (r"\bimportant\b", r"\bcritical\b"),
 }
 
 
 def emotion(text: Column) -> Column:
-    """The emotion with most cues; ties go to the first, none is NEUTRAL."""
-    counts = {name: F.regexp_count(text, F.lit(cue)) for name, cue in CUES.items()}
+    """The emotion with most cues, each pattern counted on its own; ties go to the first, none is NEUTRAL."""
+    lower = F.lower(text)
+    counts = {name: reduce(lambda a, b: a + b, (F.regexp_count(lower, F.lit(c)) for c in cues)) for name, cues in CUES.items()}
     most = F.greatest(*counts.values())
-    out = F.when(most == 0, "NEUTRAL")
+    out = F.when(F.coalesce(most, F.lit(0)) == 0, "NEUTRAL")
     for name, n in counts.items():
         out = out.when(n == most, name)
     return out
 
 
+def prosody_plan(lines: DataFrame) -> DataFrame:
+    """emotion, rate, pitch and volume of each line of (topic, seq, speaker, text), spoken by "Host 1" and "Host 2".
+
+    The emotion's settings times the emphasis of the line, cut to whole numbers; rate and pitch are softened where the
+    emotion changes; a line is slower once one host has spoken over three lines more than the other; all are limited.
+    No random variation is added.
+    """
+    w = Window.partitionBy("topic").orderBy("seq")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    said = lines.withColumn("emotion", emotion(F.col("text")))
+    lead = F.sum(F.when(F.col("speaker") == "Host 1", 1).when(F.col("speaker") == "Host 2", -1).otherwise(0)).over(so_far)
+    before = F.lag("emotion").over(w)
+    turned = before.isNotNull() & (before != F.col("emotion"))
+    slower = F.when(F.abs(lead) > PROSODY_LEAD, PROSODY_SLOWER).otherwise(0)
+    setting = F.create_map(*(F.lit(x) for name, v in PROSODY.items() for x in (name, F.array(*map(F.lit, v)))))
+    base = [(F.get(setting[F.col("emotion")], F.lit(i)) * emphasis(F.col("text"))).cast("int") for i in range(3)]
+    soft = [F.when(turned, (x * PROSODY_INERTIA).cast("int")).otherwise(x) for x in base[:2]]
+    values = [soft[0] - slower, soft[1], base[2]]
+    limited = [F.greatest(F.least(v, F.lit(most)), F.lit(-most)) for v, most in zip(values, PROSODY_LIMITS, strict=True)]
+    signed = lambda v, unit: F.concat(F.when(v >= 0, "+").otherwise("-"), F.abs(v).cast("string"), F.lit(unit))
+    return said.withColumns({name: signed(v, unit) for name, v, unit in zip(("rate", "pitch", "volume"), limited, ("%", "Hz", "%"), strict=True)})
+
+
 def duration_seconds(text: Column) -> Column:
     """Speaking time of all lines at 150 words a minute."""
     return F.sum(F.size(F.split(F.trim(text), r"\s+"))) / 150 * 60

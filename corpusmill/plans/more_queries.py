@@ -12,10 +12,10 @@ from ..sources import files, web
 from .queries import _DENSE, _FOLD, channel_hits, chunks_of, query, questions_of, r6, table, vector_queries, vectors_of
 
 
-@query("SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN event_type ELSE (value / 50)::VARCHAR END AS DOUBLE), 0.5::DOUBLE))) AS alpha FROM events WHERE event_id % 3 = 0 OR value > 100 OR value < 0")
+@query("SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN event_type ELSE round(value / 50, 3)::VARCHAR END AS DOUBLE), 0.5::DOUBLE))) AS alpha FROM events")
 def alpha_clamp(spark, sf):
-    raw = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise((F.col("value") / 50).cast("string"))
-    return table(spark, sf, "events").where("event_id % 3 = 0 OR value > 100 OR value < 0").select("event_id", vectors.alpha(raw).alias("alpha"))
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.round(F.col("value") / 50, 3).cast("string"))
+    return table(spark, sf, "events").select("event_id", vectors.alpha(raw).alias("alpha"))
 
 
 @query(
@@ -42,16 +42,18 @@ def prosody_scaling(spark, sf):
 
 
 @query(
-    r"""WITH l AS (SELECT conv_id AS path, turn AS line_no, CASE WHEN turn % 3 = 0 THEN (turn // 3 + 1) || '. ' || split_part(text, chr(10), 1) ELSE split_part(text, chr(10), 1) END AS line FROM conversations),
+    r"""WITH o AS (SELECT conv_id AS path, turn, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS p FROM conversations),
+l AS (SELECT path, turn * 100000 + p AS line_no, CASE WHEN turn % 3 = 0 AND p = 0 THEN (turn // 3 + 1) || '. ' || t ELSE t END AS line FROM o),
 n AS (SELECT *, sum(regexp_matches(line, '^\s*(\d{1,3})\.\s*(.*)$')::INT) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS q FROM l),
 b AS (SELECT path, q, line_no, trim(CASE WHEN regexp_matches(line, '^\s*(\d{1,3})\.\s*(.*)$') THEN regexp_extract(line, '^\s*(\d{1,3})\.\s*(.*)$', 2) ELSE line END) AS t FROM n WHERE q > 0 AND trim(line) <> '')
 SELECT path, q::INTEGER AS question_index, trim(string_agg(t, ' ' ORDER BY line_no)) AS question FROM b GROUP BY path, q"""
 )
 def question_bank(spark, sf):
-    c = table(spark, sf, "conversations")
-    first = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-    line = F.when(F.col("turn") % 3 == 0, F.concat((F.floor(F.col("turn") / 3) + 1).cast("string"), F.lit(". "), first)).otherwise(first)
-    return files.questions(c.select(F.col("conv_id").alias("path"), F.col("turn").alias("line_no"), line.alias("line")))
+    """Every third turn opens a question; all lines of all turns are read."""
+    lines = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("p", "t"))
+    opens = (F.col("turn") % 3 == 0) & (F.col("p") == 0)
+    line = F.when(opens, F.concat((F.floor(F.col("turn") / 3) + 1).cast("string"), F.lit(". "), F.col("t"))).otherwise(F.col("t"))
+    return files.questions(lines.select(F.col("conv_id").alias("path"), (F.col("turn") * 100000 + F.col("p")).alias("line_no"), line.alias("line")))
 
 
 @query("SELECT conv_id, list_sort([x FOR x IN ['a', 'b', 'c'] IF contains(string_agg('[DOC_ID: ' || substr('abc', (1 + turn % 4)::INT, 1) || ']', ' '), '[DOC_ID: ' || x || ']')]) AS cited FROM conversations GROUP BY conv_id")
@@ -78,29 +80,45 @@ def name_enrichment(spark, sf):
     return n.select("n_nationkey", name.alias("name"))
 
 
-@query("SELECT page_id, CASE WHEN length(html) > 500 THEN 1.0::DOUBLE WHEN length(html) >= 300 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END * CASE WHEN page_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM pages")
+@query(
+    """WITH b AS (SELECT page_id, html, CASE page_id % 3 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'code_block' ELSE 'heading' END AS kind, substr(html, 1, (page_id % 200)::INT) AS text, repeat('x/', (page_id % 15)::INT) AS path,
+  CASE WHEN page_id % 2 = 0 THEN 'primary' ELSE 'readability' END AS method, (page_id % 30) / 211.0::DOUBLE AS density FROM pages),
+s AS (SELECT page_id, CASE WHEN method = 'readability' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN kind = 'paragraph' AND length(text) < 80 THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN kind = 'code_block' THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END
+  * CASE WHEN length(path) / 2 > 10 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END * least(1.0::DOUBLE, density * 10) AS s FROM b)
+SELECT page_id, round(greatest(0.1::DOUBLE, least(s, 1.0::DOUBLE)), 2) AS confidence FROM s"""
+)
 def web_confidence(spark, sf):
-    p = table(spark, sf, "pages")
-    return p.select("page_id", web.confidence(F.lit(5), 1 - F.col("page_id") % 2, F.length("html")).alias("confidence"))
+    n = F.col("page_id")
+    kind = F.when(n % 3 == 0, "paragraph").when(n % 3 == 1, "code_block").otherwise("heading")
+    text, path = F.substring(F.col("html"), F.lit(1), (n % 200).cast("int")), F.repeat(F.lit("x/"), (n % 15).cast("int"))
+    method = F.when(n % 2 == 0, "primary").otherwise("readability")
+    return table(spark, sf, "pages").select("page_id", web.confidence(kind, text, path, method, (n % 30) / 211.0).alias("confidence"))
 
 
 @query(
     """WITH n AS (SELECT o_orderkey, 'a.' || CASE o_orderkey % 6 WHEN 0 THEN 'PDF' WHEN 1 THEN 'pptx' WHEN 2 THEN 'csv' WHEN 3 THEN 'mp4' WHEN 4 THEN 'txt' ELSE 'xls' END AS f FROM orders)
-SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'pptx' WHEN 2 THEN 'excel' WHEN 3 THEN 'video' WHEN 5 THEN 'excel' END AS kind FROM n"""
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'pptx' WHEN 3 THEN 'video' WHEN 5 THEN 'excel' END AS kind FROM n"""
 )
 def file_routing(spark, sf):
     names = F.array(*(F.lit(f"a.{x}") for x in ("PDF", "pptx", "csv", "mp4", "txt", "xls")))
     return table(spark, sf, "orders").select("o_orderkey", files.file_kind(F.get(names, (F.col("o_orderkey") % 6).cast("int"))).alias("kind"))
 
 
-@query("SELECT n_nationkey, 'Name' || ' | ' || 'No' || chr(10) || n_name || ' | ' || (n_nationkey + 1000) AS text FROM nation WHERE length(n_name) > 4")
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Name | No' || chr(10) || c_custkey || ' | ' || c_nationkey
+  WHEN c_custkey % 3 = 1 THEN 'Name  2' || chr(10) || n || '  ' || c_nationkey ELSE 'Customer  Nation' || chr(10) || n || '  ' || c_nationkey END AS text
+FROM (SELECT *, replace(c_name, ' ', '-') AS n FROM customer)"""
+)
 def table_header_text(spark, sf):
-    n = table(spark, sf, "nation").where(F.length("n_name") > 4)
-    grid = F.array(F.array(F.lit("Name"), F.lit("No")), F.array(F.col("n_name"), (F.col("n_nationkey") + 1000).cast("string")))
-    number = F.array(F.array(F.lit("Name"), F.lit("No")), F.array((F.col("n_nationkey") + 1000).cast("string"), (F.col("n_nationkey") + 1000).cast("string")))
-    typed = n.where(tables.header_score(number) >= 2)
-    line = F.when(tables.header_score(number) >= 2, F.regexp_replace(tables.grid_text(grid), "  ", " | "))
-    return typed.select("n_nationkey", line.alias("text"))
+    """Grids with a header over numbers, with a number in the first row, and with text in the second."""
+    kind = F.col("c_custkey") % 3
+    number, nation, name = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), F.replace("c_name", F.lit(" "), F.lit("-"))
+    row = lambda *cells: F.array(*(F.lit(c) if isinstance(c, str) else c for c in cells))
+    grid = (
+        F.when(kind == 0, F.array(row("Name", "No"), row(number, nation))).when(kind == 1, F.array(row("Name", "2"), row(name, nation)))
+        .otherwise(F.array(row("Customer", "Nation"), row(name, nation)))
+    )
+    return table(spark, sf, "customer").select("c_custkey", tables.grid_text(grid).alias("text"))
 
 
 @query(f"WITH {_DENSE}, s AS (SELECT *, CASE WHEN chunk_id % 3 = 0 THEN 'semantic' WHEN chunk_id % 3 = 1 THEN 'decomposition' ELSE 'keyword' END AS type FROM dn) SELECT query_id, chunk_id, type FROM s WHERE type = 'keyword' OR type = 'semantic' AND score >= 0.65 OR type = 'decomposition' AND score >= 0.55")
@@ -174,7 +192,7 @@ def ledger_diff(spark, sf):
     return serving.ledger_diff(o.where("file_id % 4 <> 0"), o.where("file_id % 5 <> 0"))
 
 
-@query(r"SELECT conv_id, turn, least(1.5::DOUBLE, 1.0::DOUBLE + CASE WHEN regexp_matches(text, '\b[A-Z]{3,}\b') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '!{2,}') THEN 0.2::DOUBLE ELSE 0 END) AS emphasis FROM conversations")
+@query(r"SELECT conv_id, turn, least(1.5::DOUBLE, 1.0::DOUBLE + CASE WHEN regexp_matches(text, '\b[A-Z]{3,}\b') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN length(text) - length(replace(text, '!', '')) > 1 THEN 0.2::DOUBLE ELSE 0 END) AS emphasis FROM conversations")
 def prosody_emphasis(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", speech.emphasis(F.col("text")).alias("emphasis"))
 

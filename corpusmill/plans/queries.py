@@ -418,19 +418,26 @@ def origin_audit(spark, sf):
 
 
 @query(
-    r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)) AS p FROM pages), s AS (SELECT *, regexp_extract(p, '\.([a-z0-9]+)$', 1) AS x FROM u)
-SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'rejected' WHEN regexp_matches(url, '^https?://([a-z]+\.)?(youtube\.com|youtu\.be)(/|$)') THEN 'youtube' WHEN x = 'pdf' THEN 'pdf'
-  WHEN x IN ('ppt', 'pptx') THEN 'pptx' WHEN x IN ('xls', 'xlsx') THEN 'excel' WHEN x IN ('mp4', 'mov', 'mkv', 'webm') THEN 'video' ELSE 'web' END AS route FROM s"""
+    r"""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS p,
+  CASE page_id % 6 WHEN 1 THEN 'application/PDF' WHEN 2 THEN 'video/mp4' WHEN 3 THEN 'text/html; charset=utf-8' WHEN 4 THEN 'text/plain' END AS ct FROM pages),
+v AS (SELECT *, CASE page_id % 5 WHEN 1 THEN p || '.pptx' WHEN 2 THEN p || '.xls' WHEN 3 THEN p || '.mkv' ELSE p END AS q FROM u)
+SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'rejected' WHEN contains(url, 'youtube.com') OR contains(url, 'youtu.be') THEN 'youtube' WHEN contains(lower(ct), 'application/pdf') THEN 'pdf'
+  WHEN contains(lower(ct), 'video/') THEN 'video' WHEN contains(lower(ct), 'text/html') THEN 'web' WHEN q LIKE '%.pdf' THEN 'pdf' WHEN q LIKE '%.ppt' OR q LIKE '%.pptx' THEN 'pptx'
+  WHEN q LIKE '%.mp4' OR q LIKE '%.mkv' THEN 'video' WHEN q LIKE '%.xls' OR q LIKE '%.xlsx' THEN 'excel' ELSE 'web' END AS route FROM v"""
 )
 def url_route(spark, sf):
-    return table(spark, sf, "pages").select("page_id", web.route(F.col("url")).alias("route"))
+    """Pages under addresses with some suffixes, answered with some content types."""
+    kind = F.element_at(F.array(*(F.lit(x) for x in (None, "application/PDF", "video/mp4", "text/html; charset=utf-8", "text/plain", None))), (F.col("page_id") % 6 + 1).cast("int"))
+    suffix = F.element_at(F.array(*(F.lit(x) for x in ("", ".pptx", ".xls", ".mkv", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    named = F.concat(F.regexp_extract("url", "^([^?#]*)", 1), suffix, F.regexp_extract("url", "^[^?#]*(.*)$", 1))
+    return table(spark, sf, "pages").select("page_id", web.route(named, kind).alias("route"))
 
 
 _LINKS = r"""
-href AS (SELECT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
+href AS (SELECT url, replace(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '&amp;', '&') AS href FROM pages),
 abso AS (SELECT url, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href END AS l FROM href),
 link AS (SELECT DISTINCT url, regexp_replace(regexp_replace(l, '#.*$', ''), '/+$', '') AS link FROM abso WHERE l IS NOT NULL),
-inner_ AS (SELECT url, link FROM link WHERE regexp_extract(link, '^(https?://[^/?#]+)', 1) = regexp_extract(url, '^(https?://[^/?#]+)', 1) AND link <> regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', ''))"""
+inner_ AS (SELECT url, link FROM link WHERE regexp_extract(link, '^https?://([^/?#]+)', 1) = regexp_extract(url, '^https?://([^/?#]+)', 1) AND link <> regexp_replace(url, '/+$', ''))"""
 
 
 @query(f"WITH {_LINKS} SELECT url, link FROM inner_")
@@ -488,15 +495,34 @@ def podcast_phases(spark, sf):
     return transcripts.phases(table(spark, sf, "conversations").select(F.col("conv_id").alias("topic"), F.col("turn").alias("seq"), emotion.alias("emotion")))
 
 
-@query(
-    r"""WITH c AS (SELECT conv_id, turn, len(regexp_extract_all(text, '(?i)\b(?:wow|amazing|incredible|fantastic|exciting)\b|!')) AS a, len(regexp_extract_all(text, '(?i)\b(?:why|how|what if|wonder|curious)\b|\?')) AS b,
- len(regexp_extract_all(text, '(?i)\b(?:perhaps|maybe|consider|think about|reflect)\b')) AS c, len(regexp_extract_all(text, '(?i)\b(?:however|important|critical|danger|must)\b')) AS d FROM conversations)
-SELECT conv_id, turn, CASE WHEN greatest(a, b, c, d) = 0 THEN 'NEUTRAL' WHEN a = greatest(a, b, c, d) THEN 'EXCITED' WHEN b = greatest(a, b, c, d) THEN 'INQUISITIVE' WHEN c = greatest(a, b, c, d) THEN 'REFLECTIVE' ELSE 'SERIOUS' END AS emotion FROM c"""
-)
+_EMOTION = r"""
+cue AS (SELECT *, lower(text) AS l FROM conversations),
+cnt AS (SELECT *, len(regexp_extract_all(l, '!+')) + len(regexp_extract_all(l, '\bwow\b')) + len(regexp_extract_all(l, '\bamazing\b')) AS a,
+  len(regexp_extract_all(l, '\?+')) + len(regexp_extract_all(l, '\breally\b')) + len(regexp_extract_all(l, '\bhow\b')) AS b,
+  len(regexp_extract_all(l, '\.\.\.')) + len(regexp_extract_all(l, '\bhmm\b')) AS c, len(regexp_extract_all(l, '\bimportant\b')) + len(regexp_extract_all(l, '\bcritical\b')) AS d FROM cue),
+emo AS (SELECT conv_id, turn, role, text, CASE WHEN greatest(a, b, c, d) = 0 THEN 'NEUTRAL' WHEN a = greatest(a, b, c, d) THEN 'EXCITED' WHEN b = greatest(a, b, c, d) THEN 'INQUISITIVE'
+  WHEN c = greatest(a, b, c, d) THEN 'REFLECTIVE' ELSE 'SERIOUS' END AS emotion FROM cnt)"""
+
+
+@query(f"WITH {_EMOTION} SELECT conv_id, turn, emotion FROM emo")
 def prosody_emotion(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", transcripts.emotion(F.col("text")).alias("emotion"))
 
 
+@query(
+    rf"""WITH {_EMOTION}, x AS (SELECT *, 1.0::DOUBLE + CASE WHEN regexp_matches(text, '\b[A-Z]{{3,}}\b') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN length(text) - length(replace(text, '!', '')) > 1 THEN 0.2::DOUBLE ELSE 0 END AS m,
+  lag(emotion) OVER w AS before, sum(CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN -1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS lead FROM emo WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s(emotion, r, p, v) AS (VALUES ('EXCITED', 15, 6, 10), ('INQUISITIVE', 6, 10, 0), ('REFLECTIVE', -8, -5, -5), ('SERIOUS', -5, -3, 6), ('NEUTRAL', 0, 0, 0)),
+y AS (SELECT conv_id, turn, x.emotion, trunc(r * m)::INT AS r, trunc(p * m)::INT AS p, trunc(v * m)::INT AS v, coalesce(before <> x.emotion, false) AS t, CASE WHEN abs(lead) > 3 THEN 3 ELSE 0 END AS slow FROM x JOIN s ON x.emotion = s.emotion),
+z AS (SELECT conv_id, turn, emotion, greatest(least(CASE WHEN t THEN trunc(r * 0.8::DOUBLE)::INT ELSE r END - slow, 25), -25) AS r, greatest(least(CASE WHEN t THEN trunc(p * 0.8::DOUBLE)::INT ELSE p END, 20), -20) AS p, greatest(least(v, 20), -20) AS v FROM y)
+SELECT conv_id, turn, emotion, CASE WHEN r >= 0 THEN '+' ELSE '-' END || abs(r) || '%' AS rate, CASE WHEN p >= 0 THEN '+' ELSE '-' END || abs(p) || 'Hz' AS pitch, CASE WHEN v >= 0 THEN '+' ELSE '-' END || abs(v) || '%' AS volume FROM z"""
+)
+def prosody_plan(spark, sf):
+    host = F.when(F.col("role") == "user", "Host 1").when(F.col("role") == "assistant", "Host 2").otherwise("guest")
+    lines = table(spark, sf, "conversations").select(F.col("conv_id").alias("topic"), F.col("turn").alias("seq"), host.alias("speaker"), "text")
+    return transcripts.prosody_plan(lines).select(F.col("topic").alias("conv_id"), F.col("seq").alias("turn"), "emotion", "rate", "pitch", "volume")
+
+
 @query(
     r"""SELECT conv_id, turn, CASE WHEN contains(role, '1') OR contains(role, 'A') OR contains(role, 'First') OR contains(s, 'A') THEN 'Host 1' WHEN contains(s, '2') OR contains(s, 'B') THEN 'Host 2' END AS host,
  md5(CASE WHEN len(regexp_split_to_array(trim(text), '\s+')) > 220 THEN array_to_string(regexp_split_to_array(trim(text), '\s+')[1:220], ' ') ELSE trim(text) END) AS text_md5

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 def file_kind(name: Column) -> Column:
     """Reader of an uploaded file, by its suffix."""
     suffix = F.regexp_extract(F.lower(name), r"\.([^.]+)$", 1)
-    return F.when(suffix == "pdf", "pdf").when(suffix.isin("ppt", "pptx"), "pptx").when(suffix.isin("xls", "xlsx", "csv"), "excel").when(
-        suffix.isin("mp4", "mov", "mkv", "webm"), "video"
+    return F.when(suffix == "pdf", "pdf").when(suffix.isin("ppt", "pptx"), "pptx").when(suffix.isin("xls", "xlsx"), "excel").when(
+        suffix.isin("mp4", "mkv", "mov"), "video"
     )
 
 
