@@ -33,7 +33,7 @@ LENGTH, ANCHOR = 100, 32
 STRINGS = LENGTH - ANCHOR + 1  # anchors to choose from in a window
 SEGMENT = 1 << 22
 ANCHOR_SLICE, AT_HAND = 1 << 20, 1 << 23  # bytes read at once; bytes whose anchors are combined before they travel
-BROADCAST_ROWS = 2_000_000  # spans or contexts that are sent to every task at most, 48 bytes each, so 96 MB
+BROADCAST_ROWS = 4_000_000  # spans or contexts that are sent to every task at most, 16 bytes each, so 64 MB besides their documents
 HOT_CONTEXTS, BESIDE = 2_000, 34  # different contexts from which on an anchor's are dealt by the bytes beside it; half of LENGTH - ANCHOR
 _OTHER_BASE = 0x2545F4914F6CDD1D
 NO_ID = -(1 << 63)  # stands for a null doc_id, and comes first
@@ -225,10 +225,10 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             route, doc, low, shape, part = [], [], [], [], []
             for r in range(i, j):
                 base = int(offsets[r - i])
-                for w in batch.column(2)[r].as_py():
-                    s, lead, more = base + w["low"], w["shape"] >> 8 & 127, w["shape"] & 255
-                    for k in _routes(w["route"], raw, s + lead, lead, more) if w["shape"] >> 15 else (w["route"],):
-                        route.append(k), doc.append(ids[r]), low.append(w["low"]), shape.append(w["shape"] & 0x7FFF)
+                for own, at, form in zip(*(batch.column(c)[r].as_py() for c in (2, 3, 4)), strict=True):
+                    s, lead, more = base + at, form >> 8 & 127, form & 255
+                    for k in _routes(own, raw, s + lead, lead, more) if form >> 15 else (own,):
+                        route.append(k), doc.append(ids[r]), low.append(at), shape.append(form & 0x7FFF)
                         part.append(raw[s : s + more + LENGTH])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(route, pa.int64()), pa.array(doc, pa.int64()), pa.array(low, pa.int64()), pa.array(shape, pa.int32()), pa.array(part, pa.binary())],
@@ -385,8 +385,9 @@ def repeated_spans(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, broadcast_
     met = docs.mapInArrow(_anchor_rows, _ANCHOR_DDL).repartition(n, "route").sortWithinPartitions("route", "context", "shape", "doc", "low")
     met = materialize(met.mapInArrow(_meet(hot_contexts), _FOUND_DDL), "met")
     open_ = met.where("high IS NULL")
-    lists = open_.groupBy("doc").agg(F.collect_list(F.struct("route", "low", "shape")).alias("wanted"))
-    texts = _beside(docs, lists, open_.count() <= broadcast_rows, "inner").select("doc_id", "text", "wanted")
+    lists = open_.groupBy("doc").agg(F.collect_list(F.struct("route", F.col("low").cast("int").alias("low"), "shape")).alias("w"))
+    lists = lists.select("doc", *(F.col(f"w.{c}").alias(c) for c in ("route", "low", "shape")))  # flat lists are the smaller ones
+    texts = _beside(docs, lists, open_.count() <= broadcast_rows, "inner").select("doc_id", "text", "route", "low", "shape")
     contexts = texts.mapInArrow(_cut_contexts, "route long, doc long, low long, shape int, bytes binary").dropDuplicates(["route", "doc", "low", "shape"])
     compared = contexts.repartition(n, "route").sortWithinPartitions("route", "doc", "low").mapInArrow(_compare, "doc long, low long, high long")
     return met.where("high IS NOT NULL").select("doc", "low", "high").unionByName(compared)
@@ -414,7 +415,7 @@ def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, broadcast_
 def _removed(docs: DataFrame, hot_contexts: int, broadcast_rows: int) -> DataFrame:
     """``remove_repeats`` of documents whose doc_id stands for one text."""
     spans = materialize(repeated_spans(docs, hot_contexts, broadcast_rows), "spans")
-    lists = spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("s"))
+    lists = spans.groupBy("doc").agg(F.collect_list(F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"))).alias("s"))
     lists = lists.select("doc", F.col("s.low").alias("lows"), F.col("s.high").alias("highs"))
     held = _beside(docs, lists, spans.count() <= broadcast_rows, "left").select("doc_id", "text", "lows", "highs")
     return held.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
