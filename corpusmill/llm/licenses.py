@@ -23,7 +23,7 @@ from .license_texts import TEMPLATES
 
 WIDTH, THRESHOLD, MISS = 5, 0.75, 1e-6
 MOST_BANDS = 1_000_000  # rows of the templates' bands, which are sent to every task
-_BREAK = r"[^\p{L}\p{N}]+"
+_WORD, _BREAK = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 
 Class = tuple[int, int, int, int, int]  # width, most shingles of a template, stride, window, bands
 
@@ -125,17 +125,20 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     shingles = template_shingles(templates)
     sizes = classes(shingles)
     table, givers = _template_bands(spark, shingles, sizes)
-    words = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), _BREAK), lambda w: w != "")
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(_WORD), F.lit(0))
     widths = sorted({width for width, *_ in sizes})
     of_width = {width: sorted({g for (w, _), found in givers.items() if w == width for g in found}) for width in widths}
 
-    def hits(w: Column, width: int) -> Column:
-        first = sorted({g.split(" ", 1)[0] for g in of_width[width]})
-        hit = lambda i: F.get(w, i).isin(first) & _gram(w, i, width).isin(of_width[width])
-        return F.when(F.size(w) >= width, F.filter(F.sequence(F.lit(0), F.size(w) - width), hit)).otherwise(F.array().cast("array<int>"))
+    first = sorted({g.split(" ", 1)[0] for found in of_width.values() for g in found})
+
+    def hits(w: Column, at: Column, width: int) -> Column:
+        return F.filter(at, lambda i: (i <= F.size(w) - width) & _gram(w, i, width).isin(of_width[width]))
 
     def found(w: Column) -> Column:
-        return F.struct(w.alias("words"), *(hits(w, width).alias(f"hits{width}") for width in widths))
+        # The words that begin a wanted shingle, in one pass over all words.
+        begins = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(first))
+        at = F.when(F.size(w) > 0, begins).otherwise(F.array().cast("array<int>"))
+        return let(at, lambda x: F.struct(w.alias("words"), *(hits(w, x, width).alias(f"hits{width}") for width in widths)))
 
     # A generator, so that Spark evaluates the words once, not again in a pushed-down filter.
     some = F.filter(F.array(let(words, found)), lambda h: sum((F.size(h[f"hits{x}"]) for x in widths), F.lit(0)) > 0)
