@@ -29,6 +29,8 @@ BLOCK_SECONDS, BLOCK_GAP, UNIT_CONFIDENCE, OPEN_UNIT_SECONDS = 60.0, 1.2, 0.75,
 METRICS_KEPT, METRICS_LATEST, COST_PER_MILLION = 1000, 100, 0.10
 MIN_CARD_CONFIDENCE = 0.7
 CRAWL_PAGES, SITEMAP_PAGES = 15, 30
+EMBED_DIM, EMBED_TERMS = 64, 512
+QUERY_PREFIX = "Represent this question for searching relevant passages: "
 # Speech rate, pitch and volume of an emotion, and how they are changed.
 PROSODY = {"EXCITED": (15, 6, 10), "INQUISITIVE": (6, 10, 0), "REFLECTIVE": (-8, -5, -5), "SERIOUS": (-5, -3, 6), "NEUTRAL": (0, 0, 0)}
 PROSODY_INERTIA, PROSODY_LEAD, PROSODY_SLOWER, PROSODY_LIMITS = 0.8, 3, 3, (25, 20, 20)

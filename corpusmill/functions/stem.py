@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 _C, _V = "[^aeiou]", "[aeiouy]"
 _CC, _VV = f"{_C}[^aeiouy]*", f"{_V}[aeiou]*"
@@ -87,3 +89,33 @@ def stemmed(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with the stems of a column's terms: each distinct term is stemmed once."""
     known = rows.select(column).where(f"{column} IS NOT NULL").distinct().withColumn("_stem", stem_udf(column))
     return rows.join(known, column).withColumn(column, known["_stem"]).drop("_stem")
+
+
+_stems: dict[str, str] = {}
+
+
+def kept_stem(word: str) -> str:
+    """``stem``, remembered for a million words at once."""
+    if len(_stems) > 1_000_000:
+        _stems.clear()
+    found = _stems.get(word)
+    if found is None:
+        found = _stems[word] = stem(word)
+    return found
+
+
+def _stem_lists(lists: pa.Array) -> pa.Array:
+    codes = lists.flatten().dictionary_encode()
+    stems = pa.array([s if len(s := kept_stem(w)) >= 2 else None for w in codes.dictionary.to_pylist()], pa.string())
+    flat = stems.take(codes.indices)
+    counts = np.concatenate(([0], np.cumsum(flat.is_valid().to_numpy(zero_copy_only=False))))
+    ends = lists.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(counts[ends - ends[0]].astype(np.int32)), flat.drop_null())
+
+
+@arrow_udf(ArrayType(StringType()))
+def stem_lists(lists: pa.Array) -> pa.Array:
+    """The stems of lists of terms, those under two characters left out; each distinct term of a batch is stemmed once."""
+    from corpusmill.functions import stem as here
+
+    return here._stem_lists(lists)

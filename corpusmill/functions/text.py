@@ -18,10 +18,10 @@ STOP_WORDS = (
 ).split()
 
 
-def terms(text: Column, stop_words=STOP_WORDS) -> Column:
-    """Lower-case runs of ASCII letters and digits that are no stop words and at least two characters long, in order."""
+def terms(text: Column, stop_words=STOP_WORDS, least: int = 2) -> Column:
+    """Lower-case runs of ASCII letters and digits that are no stop words and at least ``least`` characters long, in order."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
+    return F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(*stop_words))
 
 
 def words(text: Column) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_EPSILON, BM25_K1, SPARSE_TOP_K
-from ..functions.text import terms
+from ..functions.stem import stem_lists
+from ..functions.text import STOP_WORDS, terms
 
 
 class Bm25Index(NamedTuple):
@@ -18,9 +19,15 @@ class Bm25Index(NamedTuple):
     idf: DataFrame  # batch_id, term, df, idf
 
 
-def build(chunks: DataFrame, stop_words=()) -> Bm25Index:
-    """Statistics of each batch; chunks without terms don't count. One shuffle by (batch, term) serves tf and df."""
-    tokens = chunks.select("batch_id", "chunk_id", terms(F.col("text"), stop_words or ("",)).alias("terms")).where(F.size("terms") > 0)
+def tokens_of(text: Column, stop_words=STOP_WORDS, stems: bool = True) -> Column:
+    """The terms that are indexed: without stop words, and their stems."""
+    found = terms(text, stop_words or ("",), 1 if stems else 2)
+    return stem_lists(found) if stems else found
+
+
+def build(chunks: DataFrame, stop_words=STOP_WORDS, stems: bool = True) -> Bm25Index:
+    """Statistics of each batch; chunks without terms don't count. Each row is a chunk, so its terms are counted where it lies."""
+    tokens = chunks.select("batch_id", "chunk_id", tokens_of(F.col("text"), stop_words, stems).alias("terms")).where(F.size("terms") > 0)
     postings = tokens.select("batch_id", "chunk_id", F.explode("terms").alias("term")).groupBy("batch_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     doc_len = tokens.select("batch_id", "chunk_id", F.size("terms").cast("long").alias("dl"))
     stats = doc_len.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
@@ -31,9 +38,22 @@ def build(chunks: DataFrame, stop_words=()) -> Bm25Index:
     return Bm25Index(postings, doc_len, stats, idf)
 
 
-def search(index: Bm25Index, queries: DataFrame, top_k: int = SPARSE_TOP_K, k1: float = BM25_K1, b: float = BM25_B, stop_words=()) -> DataFrame:
+def write(index: Bm25Index, path: str) -> None:
+    """The index as tables, postings and weights by batch and term, so that a search reads the terms it needs."""
+    for name, df in index._asdict().items():
+        keys = ["batch_id", "term"] if "term" in df.columns else ["batch_id"]
+        df.repartition(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read(spark: SparkSession, path: str) -> Bm25Index:
+    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in Bm25Index._fields))
+
+
+def search(
+    index: Bm25Index, queries: DataFrame, top_k: int = SPARSE_TOP_K, k1: float = BM25_K1, b: float = BM25_B, stop_words=STOP_WORDS, stems: bool = True
+) -> DataFrame:
     """(query_id, batch_id, chunk_id, score, rank): the best chunks of each query's batch, positive scores only, after the cut."""
-    wanted = queries.select("query_id", "batch_id", F.explode(terms(F.col("text"), stop_words or ("",))).alias("term"))
+    wanted = queries.select("query_id", "batch_id", F.explode(tokens_of(F.col("text"), stop_words, stems)).alias("term"))
     wanted = wanted.groupBy("query_id", "batch_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     hits = index.postings.join(wanted.join(index.idf, ["batch_id", "term"]), ["batch_id", "term"])
     hits = hits.join(index.doc_len, ["batch_id", "chunk_id"]).join(index.stats, "batch_id")

@@ -4,25 +4,92 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EDGE_WEIGHTS, HOP_DECAY, HOPS, MAX_EXPANDED, MIN_EXPAND, RESONANCE
 from ..functions.text import keywords
+from .lineage import cut
 
-LEVELS = 9  # deepest heading level that is told apart
+BLOCK = 512  # chunks of a batch that are compared with as many others in one task
+_WORDS = 4096  # keywords whose counts are added up at once
 
 
-def thematic_edges(chunks: DataFrame, most: int = 3, least: int = 2) -> DataFrame:
-    """(batch_id, src, edge_type, dst, list_pos): each chunk's ``most`` neighbours by shared keywords that share ``least``."""
-    words = chunks.select("batch_id", "chunk_id", F.explode(keywords(F.col("text"))).alias("keyword"))
-    other = words.select("batch_id", F.col("chunk_id").alias("dst"), "keyword")
-    shared = words.join(other, ["batch_id", "keyword"]).where("chunk_id <> dst").groupBy("batch_id", F.col("chunk_id").alias("src"), "dst").agg(F.count(F.lit(1)).alias("overlap"))
+def _overlaps(most: int, least: int):
+    """The ``most`` chunks of one block that share the most keywords, ``least`` or more, with each chunk of another."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("chunk_id", kind="stable")
+            rows = [[np.asarray(k, np.int64) for k in side["keywords"]] for side in (left, right)]
+            common = np.intersect1d(*(np.unique(np.concatenate(r)) for r in rows))
+            shared = np.zeros((len(left), len(right)), np.float32)
+            places = []
+            for r in rows:
+                doc = np.repeat(np.arange(len(r)), [len(k) for k in r])
+                word = np.concatenate(r)
+                at = np.searchsorted(common, word)
+                held = (at < len(common)) & (common[np.minimum(at, max(0, len(common) - 1))] == word) if len(common) else np.zeros(len(word), bool)
+                places.append((doc[held], at[held]))
+            for w in range(0, len(common), _WORDS):
+                one = []
+                for (doc, at), r in zip(places, rows, strict=True):
+                    x = np.zeros((len(r), min(_WORDS, len(common) - w)), np.float32)
+                    now = (at >= w) & (at < w + _WORDS)
+                    x[doc[now], at[now] - w] = 1
+                    one.append(x)
+                shared += one[0] @ one[1].T
+            shared[left["chunk_id"].to_numpy()[:, None] == right["chunk_id"].to_numpy()[None, :]] = 0
+            best = np.argsort(-shared, axis=1, kind="stable")[:, :most]
+            for i, js in enumerate(best):
+                out += [(left["batch_id"].iloc[i], left["chunk_id"].iloc[i], right["chunk_id"].iloc[j], int(shared[i, j])) for j in js if shared[i, j] >= least]
+        return pd.DataFrame(out, columns=["batch_id", "src", "dst", "overlap"])
+
+    return run
+
+
+def thematic_edges(chunks: DataFrame, most: int = 3, least: int = 2, block: int = BLOCK) -> DataFrame:
+    """(batch_id, src, edge_type, dst, list_pos): each chunk's ``most`` neighbours by shared keywords that share ``least``.
+
+    A batch is dealt into blocks; a task compares two blocks and hands on the best neighbours alone, so a keyword that
+    all chunks share makes no pairs. Chunks without keywords have no edges.
+    """
+    known = F.transform(keywords(F.col("text")), lambda w: F.xxhash64(w))
+    held = chunks.select("batch_id", "chunk_id", known.alias("keywords")).where(F.size("keywords") > 0)
+    sizes = chunks.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = held.join(sizes, "batch_id").withColumn("own", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select("batch_id", F.col("own").alias("a"), every.alias("b"), "chunk_id", "keywords")
+    fresh = (F.col(c).alias(c) for c in ("chunk_id", "keywords"))
+    right = dealt.select(F.col("batch_id").alias("batch_id"), every.alias("a"), F.col("own").alias("b"), *fresh)
+    keys = ["batch_id", "a", "b"]
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    schema = f"batch_id {kinds['batch_id']}, src {kinds['chunk_id']}, dst {kinds['chunk_id']}, overlap long"
+    shared = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_overlaps(most, least), schema)
     rank = F.row_number().over(Window.partitionBy("batch_id", "src").orderBy(F.desc("overlap"), "dst"))
-    best = shared.withColumn("list_pos", rank).where((F.col("list_pos") <= most) & (F.col("overlap") >= least))
+    best = shared.withColumn("list_pos", rank).where(F.col("list_pos") <= most)
     return best.select("batch_id", "src", F.lit("thematic").alias("edge_type"), "dst", "list_pos")
 
 
+def _parents(sections: Column) -> Column:
+    """(at, parent_at) of sections in order: the nearest one before with a lower level, by a stack of open sections."""
+    kind = "array<struct<at:int,level:int>>"
+    start = F.struct(F.array().cast(kind).alias("open"), F.array().cast("array<struct<at:int,parent_at:int>>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        above = F.filter(acc["open"], lambda x: x["level"] < s["level"])
+        parent = F.get(above, F.size(above) - 1)["at"]
+        return F.struct(
+            F.array_append(above, F.struct(s["at"].alias("at"), s["level"].alias("level"))).alias("open"),
+            F.array_append(acc["out"], F.struct(s["at"].alias("at"), parent.alias("parent_at"))).alias("out"),
+        )
+
+    return F.aggregate(sections, start, step, lambda acc: acc["out"])
+
+
 def section_edges(chunks: DataFrame) -> DataFrame:
     """Edges along the structure of documents, from (batch_id, document_id, section_title, section_level, page, chunk_id).
 
@@ -35,12 +102,10 @@ def section_edges(chunks: DataFrame) -> DataFrame:
     follow = placed.select("batch_id", F.col("chunk_id").alias("a"), F.lead("chunk_id").over(inside).alias("b")).where("b IS NOT NULL")
     whole = placed.groupBy(*key).agg(F.min("pos").alias("at"), F.min_by("chunk_id", "pos").alias("first"), F.max_by("chunk_id", "pos").alias("last"))
     order = Window.partitionBy(*doc).orderBy("at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # The last section of each level so far: the nearest with a lower level is the parent.
-    seen = [F.struct(F.max(F.when(F.col("section_level") == n, F.col("at"))).over(before).alias("at"), F.lit(n).alias("n")) for n in range(1, LEVELS)]
-    parent_at = F.array_max(F.transform(F.filter(F.array(*seen), lambda x: x["n"] < F.col("section_level")), lambda x: x["at"]))
+    listed = whole.groupBy(*doc).agg(F.array_sort(F.collect_list(F.struct("at", F.col("section_level").cast("int").alias("level")))).alias("s"))
+    above = listed.select(*doc, F.explode(_parents(F.col("s"))).alias("p")).select(*doc, "p.*")
     lined = whole.withColumn("next_first", F.lead("first").over(order)).withColumn("prev_first", F.lag("first").over(order))
-    lined = lined.withColumn("prev_level", F.lag("section_level").over(order)).withColumn("parent_at", parent_at)
+    lined = lined.withColumn("prev_level", F.lag("section_level").over(order)).join(above, [*doc, "at"])
     parents = whole.select(*doc, F.col("at").alias("parent_at"), F.col("first").alias("parent"))
     related = lined.join(parents, [*doc, "parent_at"])
     edge = lambda df, a, kind, b: df.select("batch_id", F.col(a).alias("src"), F.lit(kind).alias("edge_type"), F.col(b).alias("dst"))
@@ -92,9 +157,9 @@ def expand(
         arrivals = active.join(wired, (active["chunk_id"] == wired["src"]) & (active["batch_id"] == wired["batch_id"])).select(
             "query_id", active["batch_id"], F.col("dst").alias("chunk_id"), (F.col("s") * F.col("kind.w") * decay).alias("inc"), F.struct("turn", "kind.i", "list_pos").alias("key")
         )
-        grown = arrivals.groupBy("query_id", "batch_id", "chunk_id").agg(
+        grown = cut(arrivals.groupBy("query_id", "batch_id", "chunk_id").agg(
             F.max("inc").alias("best"), F.min_by("inc", "key").alias("first"), F.min("key").alias("key"), F.product(1 - resonance * F.col("inc")).alias("all")
-        )
+        ))
         joined = scores.join(grown, ["query_id", "batch_id", "chunk_id"], "full_outer")
         again = 1 - (1 - F.col("score")) * F.col("all")
         fresh = 1 - (1 - F.col("first")) * F.col("all") / (1 - resonance * F.col("first"))

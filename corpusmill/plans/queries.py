@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CACHE_SCORE, COOLDOWN_S, MIN_CARD_CONFIDENCE
 from ..functions import text as T
+from ..functions.embed import embedded
 from ..functions.vectors import cosine, sigmoid
 from ..operators import bm25, chunking, dense, fusion, graph, metrics, platform, transcripts
 from ..sources import files, web
@@ -45,8 +46,9 @@ def questions_of(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("batch_id"), "text")
 
 
-_TERMS = """
-tok AS (SELECT source AS batch_id, doc_id AS chunk_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: length(w) >= 2) AS terms FROM documents),
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_TERMS = f"""
+tok AS (SELECT source AS batch_id, doc_id AS chunk_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({_STOPS})) AS terms FROM documents),
 posting AS (SELECT batch_id, chunk_id, term, count(*) AS tf FROM (SELECT batch_id, chunk_id, unnest(terms) AS term FROM tok) GROUP BY ALL),
 len AS (SELECT batch_id, chunk_id, len(terms) AS dl FROM tok WHERE len(terms) > 0),
 stat AS (SELECT batch_id, count(*) AS n, avg(dl) AS avgdl FROM len GROUP BY 1),
@@ -56,8 +58,8 @@ flo AS (SELECT batch_id, 0.25::DOUBLE * avg(raw) AS f FROM raw GROUP BY 1),
 idf AS (SELECT raw.batch_id, term, df, CASE WHEN raw < 0 THEN f ELSE raw END AS idf FROM raw JOIN flo USING (batch_id))"""
 _SEARCH = (
     _TERMS
-    + """,
-qt AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS batch_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: length(w) >= 2)) AS term FROM benchmark),
+    + f""",
+qt AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS batch_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({_STOPS}))) AS term FROM benchmark),
 qtf AS (SELECT query_id, batch_id, term, count(*) AS qtf FROM qt GROUP BY ALL),
 sc AS (SELECT query_id, p.batch_id, p.chunk_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
   FROM posting p JOIN qtf USING (batch_id, term) JOIN idf USING (batch_id, term) JOIN len USING (batch_id, chunk_id) JOIN stat USING (batch_id) GROUP BY ALL),
@@ -68,7 +70,7 @@ hit AS (SELECT * FROM rk WHERE rank <= 40 AND score > 0)"""
 
 @query(f"WITH {_SEARCH} SELECT query_id, batch_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM hit")
 def bm25_topk(spark, sf):
-    hits = bm25.search(bm25.build(chunks_of(spark, sf)), questions_of(spark, sf))
+    hits = bm25.search(bm25.build(chunks_of(spark, sf), stems=False), questions_of(spark, sf), stems=False)
     return hits.select("query_id", "batch_id", "chunk_id", r6("score").alias("score"), "rank")
 
 
@@ -78,8 +80,9 @@ def whole(rows: DataFrame) -> DataFrame:
 
 
 def corpus_hits(spark: SparkSession, sf: str) -> DataFrame:
-    index = bm25.build(whole(chunks_of(spark, sf)))
-    return bm25.search(index._replace(stats=F.broadcast(index.stats)), whole(questions_of(spark, sf)))
+    """Hits in one batch of all sources. SQL has no stemmer, so the terms are not stemmed; ``bm25_topk_stemmed`` stems them."""
+    index = bm25.build(whole(chunks_of(spark, sf)), stems=False)
+    return bm25.search(index._replace(stats=F.broadcast(index.stats)), whole(questions_of(spark, sf)), stems=False)
 
 
 _WIDE = _SEARCH.replace("source AS batch_id", "'all' AS batch_id").replace("'src' || (item_id % 20) AS batch_id", "'all' AS batch_id")
@@ -90,22 +93,29 @@ def bm25_topk_corpus(spark, sf):
     return corpus_hits(spark, sf).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
 
 
+@query()
+def bm25_topk_stemmed(spark, sf):
+    index = bm25.build(whole(chunks_of(spark, sf)))
+    hits = bm25.search(index._replace(stats=F.broadcast(index.stats)), whole(questions_of(spark, sf)))
+    return hits.select("query_id", "chunk_id", r6("score").alias("score"), "rank")
+
+
 FLAGSHIP = bm25_topk_corpus
 
 
 @query(f"WITH {_TERMS} SELECT batch_id, term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf):
-    return bm25.build(chunks_of(spark, sf)).idf.select("batch_id", "term", "df", r6("idf").alias("idf"))
+    return bm25.build(chunks_of(spark, sf), stems=False).idf.select("batch_id", "term", "df", r6("idf").alias("idf"))
 
 
 @query(f"WITH {_TERMS} SELECT batch_id, n::BIGINT AS n_chunks, round(avgdl, 6) AS avgdl FROM stat")
 def bm25_stats(spark, sf):
-    return bm25.build(chunks_of(spark, sf)).stats.select("batch_id", "n_chunks", r6("avgdl").alias("avgdl"))
+    return bm25.build(chunks_of(spark, sf), stems=False).stats.select("batch_id", "n_chunks", r6("avgdl").alias("avgdl"))
 
 
 @query(f"WITH {_TERMS} SELECT batch_id, chunk_id, term, tf::BIGINT AS tf FROM posting")
 def bm25_postings(spark, sf):
-    return bm25.build(chunks_of(spark, sf)).postings
+    return bm25.build(chunks_of(spark, sf), stems=False).postings
 
 
 _BLOCKS = r"""
@@ -207,7 +217,6 @@ def cache_hit_corpus(spark, sf):
     return dense.nearest(*wide_vectors(spark, sf), CACHE_SCORE).select("query_id", "chunk_id", r6("score").alias("score"))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda w: w <> '')"
 
 
@@ -377,9 +386,14 @@ def graph_expand_2hop(spark, sf):
 
 @query()
 def retrieve_end_to_end(spark, sf):
+    """All benchmark items over the corpus: words and vectors, a given rewrite, the graph of each source, reranking."""
     chunks = chunks_of(spark, sf).withColumn("document_id", F.col("chunk_id")).withColumn("section_title", F.lit(""))
-    found = retrieval.retrieve(whole(chunks), whole(questions_of(spark, sf)))
-    return found.select("query_id", "chunk_id", *(r6(c).alias(c) for c in ("score", "rerank_score", "final_score")), "rank")
+    asked = whole(questions_of(spark, sf))
+    given = asked.select("query_id", "batch_id", F.lit(1).alias("rewrite_idx"), F.substring("text", 1, 60).alias("rewrite"), F.lit("semantic").alias("type"))
+    vectors = embedded(whole(chunks).select("batch_id", "chunk_id", "text"), "text").drop("text")
+    edges = whole(graph.thematic_edges(chunks_of(spark, sf)))
+    found = retrieval.retrieve(whole(chunks), asked, edges, given, vectors=vectors)
+    return found.select("query_id", "chunk_id", *(r6(c).alias(c) for c in ("score", "rerank_score", "final_score")), F.array_join("origins", ",").alias("origins"), "rank")
 
 
 @query(
@@ -389,7 +403,7 @@ SELECT query_id, chunk_id, round(CASE WHEN len(q.w) > 0 THEN len(list_intersect(
 FROM hit JOIN q ON q.item_id = query_id JOIN d ON d.doc_id = chunk_id"""
 )
 def rerank_lexical(spark, sf):
-    hits = bm25.search(bm25.build(chunks_of(spark, sf)), questions_of(spark, sf))
+    hits = bm25.search(bm25.build(chunks_of(spark, sf), stems=False), questions_of(spark, sf), stems=False)
     body = chunks_of(spark, sf).select("chunk_id", F.col("text").alias("body"))
     full = hits.join(body, "chunk_id").join(questions_of(spark, sf).select("query_id", "text"), "query_id")
     return retrieval.lexical_score(full, "text", "body").select("query_id", "chunk_id", r6("rerank_score").alias("rerank_score"))

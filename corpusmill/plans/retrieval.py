@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import LIMIT, REWRITE_WEIGHTS, SPARSE_TOP_K
+from ..config import ALPHA, DENSE_TOP_K, LIMIT, REWRITE_WEIGHTS, SPARSE_TOP_K
+from ..functions.embed import embedded
 from ..functions.text import keyword_rewrite, terms
 from ..functions.vectors import fused
-from ..operators import bm25, fusion, graph
+from ..operators import bm25, dense, fusion, graph
+from ..operators.lineage import cut
+
+Embed = Callable[..., DataFrame]  # (rows, text column, out column, is_query=...) as ``embedded``
+Score = Callable[[DataFrame, str, str], DataFrame]  # (pairs, question column, text column) as ``lexical_score``
 
 
 def rewrites(queries: DataFrame, given: DataFrame | None = None) -> DataFrame:
@@ -32,28 +39,93 @@ def lexical_score(query: DataFrame, text: str, other: str) -> DataFrame:
     return query.withColumn("rerank_score", F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)).otherwise(F.lit(0.0)))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, edges: DataFrame | None = None, given: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
-    """(query_id, chunk_id, score, rerank_score, final_score, rank) of the best chunks of each query's batch.
+def contextual(section: Column, text: Column) -> Column:
+    """A text under its section's title, as a reranker reads it."""
+    return F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit("Section: "), section, F.lit("\n"), text)).otherwise(text)
+
+
+def rerank(candidates: DataFrame, asked: DataFrame, known: DataFrame | None = None, score: Score = lexical_score) -> DataFrame:
+    """``candidates`` with rerank_score: the best score of any of their query's (query_id, ask) texts.
 
-    Rewrites search the lexical index, hits are folded over rewrites in order, fused, expanded over the graph where
-    edges are given, normalised and filtered, kept diverse, reranked and cut at the first gap.
+    Each different pair of question and text is scored once. Pairs found in ``known`` (ask, body, rerank_score) are not
+    scored again. Candidates need query_id, section_title and body.
     """
-    index = bm25.build(chunks)
-    asked = rewrites(queries, given)
+    full = candidates.withColumn("body", contextual(F.col("section_title"), F.col("body")))
+    pairs = full.select("query_id", "chunk_id", "body").join(asked.distinct(), "query_id")
+    unique = pairs.select("ask", "body").distinct()
+    if known is not None:
+        scored = score(unique.join(known, ["ask", "body"], "left_anti"), "ask", "body").unionByName(unique.join(known, ["ask", "body"]))
+    else:
+        scored = score(unique, "ask", "body")
+    best = pairs.join(scored, ["ask", "body"]).groupBy("query_id", "chunk_id").agg(F.max("rerank_score").alias("rerank_score"))
+    return full.join(best, ["query_id", "chunk_id"])
+
+
+def best_semantic(hits: DataFrame, kept: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(query_id, ask): the semantic rewrite whose hits weigh most among the candidates that are left."""
+    share = F.when(F.col("channel") == "dense", F.lit(alpha)).otherwise(F.lit(1 - alpha))
+    own = hits.where("type = 'semantic'").join(kept.select("query_id", "chunk_id"), ["query_id", "chunk_id"])
+    impact = own.groupBy("query_id", "rewrite").agg(F.round(F.sum(F.col("score") * F.col("weight") * share), 9).alias("impact"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("impact"), "rewrite")
+    return impact.withColumn("n", F.row_number().over(order)).where("n = 1").select("query_id", F.col("rewrite").alias("ask"))
+
+
+def channels(index: bm25.Bm25Index, asked: DataFrame, vectors: DataFrame | None, embed: Embed) -> DataFrame:
+    """(query_id, chunk_id, channel, score, rewrite_idx, rewrite, type, weight): hits of every rewrite in every channel."""
     key = F.concat_ws("/", F.col("query_id").cast("string"), F.col("rewrite_idx").cast("string"))
     wide = asked.withColumn("key", key)
-    hits = bm25.search(index, wide.select(F.col("key").alias("query_id"), "batch_id", F.col("rewrite").alias("text")), SPARSE_TOP_K)
-    hits = hits.select(F.col("query_id").alias("key"), "chunk_id", "score").join(wide.select("key", "query_id", "rewrite_idx", "weight"), "key")
-    folded = fusion.consensus_fold(hits.withColumn("channel", F.lit("sparse")))
-    scores = fusion.rrf(folded)
+    found = bm25.search(index, wide.select(F.col("key").alias("query_id"), "batch_id", F.col("rewrite").alias("text")), SPARSE_TOP_K)
+    hits = found.select(F.col("query_id").alias("key"), "chunk_id", "score", F.lit("sparse").alias("channel"))
+    if vectors is not None:
+        questions = embed(wide.select(F.col("key").alias("query_id"), "batch_id", "rewrite"), "rewrite", "query_vector", is_query=True)
+        near = dense.search(vectors, questions, DENSE_TOP_K)
+        hits = hits.unionByName(near.select(F.col("query_id").alias("key"), "chunk_id", "score", F.lit("dense").alias("channel")))
+    return hits.join(wide.select("key", "query_id", "rewrite_idx", "rewrite", "type", "weight"), "key").drop("key")
+
+
+def retrieve(
+    chunks: DataFrame,
+    queries: DataFrame,
+    edges: DataFrame | None = None,
+    given: DataFrame | None = None,
+    limit: int = LIMIT,
+    vectors: DataFrame | None = None,
+    embed: Embed = embedded,
+    score: Score = lexical_score,
+    known: DataFrame | None = None,
+    index: bm25.Bm25Index | None = None,
+) -> DataFrame:
+    """(query_id, chunk_id, score, rerank_score, final_score, origins, rank) of the best chunks of each query's batch.
+
+    Rewrites search the lexical index and, where ``vectors`` (batch_id, chunk_id, embedding) are given, these; hits are
+    folded over rewrites in order, fused by rank, and expanded over the graph where edges are given and the first hits
+    are not sure enough. Candidates are normalised and filtered, kept diverse, reranked by the question and its best
+    semantic rewrite, and cut at the first gap. A chunk of another batch is never a candidate.
+    """
+    asked = rewrites(queries, given)
+    hits = cut(channels(index or bm25.build(chunks), cut(asked), vectors, embed))
+    folded = fusion.consensus_fold(hits)
+    scores = cut(fusion.rrf(folded))
+    origins = folded.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_set("channel")).alias("origins"))
+    batch = queries.select("query_id", "batch_id")
     if edges is not None:
-        seeds = scores.join(queries.select("query_id", "batch_id"), "query_id")
-        scores = graph.expand(seeds, edges).select("query_id", "chunk_id", "score")
-    kept = fusion.minmax_filter(scores).drop("rank", "normalized")
-    body = chunks.select("chunk_id", "document_id", "section_title", F.col("text").alias("body"))
-    full = kept.join(body, "chunk_id").join(queries.select("query_id", "text"), "query_id")
+        flagged = scores.join(origins, ["query_id", "chunk_id"])
+        sides = [F.array_contains("origins", c).alias(f"in_{c}") for c in ("dense", "sparse")]
+        sure = fusion.skip_expansion(flagged.select("query_id", "chunk_id", "score", *sides)).where("skip").select("query_id")
+        seeds = scores.join(sure, "query_id", "left_anti").join(batch, "query_id")
+        grown = graph.expand(seeds, edges).select("query_id", "chunk_id", "score", F.lit(True).alias("graph"))
+        scores = cut(grown.unionByName(scores.join(sure, "query_id", "left_semi").withColumn("graph", F.lit(False))))
+        origins = scores.join(origins, ["query_id", "chunk_id"], "left").select(
+            "query_id", "chunk_id", F.concat(F.coalesce("origins", F.array().cast("array<string>")), F.when(F.col("graph"), F.array(F.lit("graph"))).otherwise(F.array().cast("array<string>"))).alias("origins")
+        )
+        scores = scores.drop("graph")
+    kept = cut(fusion.minmax_filter(scores).drop("rank", "normalized"))
+    body = chunks.select("batch_id", "chunk_id", "document_id", "section_title", F.col("text").alias("body"))
+    full = kept.join(batch, "query_id").join(body, ["batch_id", "chunk_id"]).drop("batch_id")
     varied = fusion.diversity(full).drop("rank")
-    ranked = lexical_score(varied, "text", "body").withColumn("final_score", fused(F.col("score"), F.col("rerank_score")))
-    cut = fusion.gap_cut(ranked.select("query_id", "chunk_id", F.col("score").alias("retrieval"), "rerank_score", F.col("final_score").alias("score")))
-    placed = cut.withColumn("rank", F.row_number().over(fusion._best_first())).where(F.col("rank") <= limit)
-    return placed.select("query_id", "chunk_id", F.col("retrieval").alias("score"), "rerank_score", F.col("score").alias("final_score"), "rank")
+    asks = queries.select("query_id", F.col("text").alias("ask")).unionByName(best_semantic(hits, kept))
+    ranked = rerank(varied, asks, known, score).withColumn("final_score", fused(F.col("score"), F.col("rerank_score")))
+    until_gap = fusion.gap_cut(ranked.select("query_id", "chunk_id", F.col("score").alias("retrieval"), "rerank_score", F.col("final_score").alias("score")))
+    placed = until_gap.withColumn("rank", F.row_number().over(fusion._best_first())).where(F.col("rank") <= limit)
+    out = placed.select("query_id", "chunk_id", F.col("retrieval").alias("score"), "rerank_score", F.col("score").alias("final_score"), "rank")
+    return out.join(origins, ["query_id", "chunk_id"], "left")
