@@ -18,7 +18,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialize
 from .license_texts import TEMPLATES
 
 WIDTH, THRESHOLD, MISS = 5, 0.75, 1e-6
@@ -143,6 +143,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     # A generator, so that Spark evaluates the words once, not again in a pushed-down filter.
     some = F.filter(F.array(let(words, found)), lambda h: sum((F.size(h[f"hits{x}"]) for x in widths), F.lit(0)) > 0)
     held = docs.select("doc_id", F.explode(some).alias("h")).select("doc_id", "h.*").withColumn("body", F.xxhash64("words"))
+    held = materialize(held, "license_hits")  # every class reads these few texts, none the others again
     cut = None
     for width, top, stride, window, bands in sizes:
         starts = F.array_distinct(F.flatten(F.transform(_own_hits(width, givers[width, top]), _windows_at(stride, window))))
