@@ -25,7 +25,7 @@ THRESHOLDS = (
     ("symbols_per_word", "<=", 0.1),
     ("marks_per_word", "<=", 0.5),
     ("stop_word_ratio", ">=", 0.01),
-    ("dup_line_ratio", "<=", 0.3),
+    ("dup_line_ratio", "<=", 0.5),
 )
 
 _COMPARE = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
@@ -106,7 +106,8 @@ def base_failed(quality: Column) -> Column:
 def quality_report(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """One row per document: doc_id, base counts, ``base_failed`` and ``kept``, then the ratios.
 
-    Repeated rows are judged each on its own; an empty table gives an empty result; other columns are ignored.
+    Null texts count as empty and fail by their words; very long texts are measured whole. Repeated rows, and rows with
+    a null or repeated doc_id, are judged each on its own; an empty table gives an empty result; other columns are ignored.
     """
     q = F.col("_quality")
     measured = measure(docs.select("doc_id", "text")).drop("text")
@@ -154,7 +155,7 @@ q AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_fa
         CASE WHEN n_words > 0 THEN n_stop_words::DOUBLE / n_words ELSE 0::DOUBLE END AS m4,
         CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0::DOUBLE END AS m5 FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND n_words >= 50 AND m1 >= 2.0 AND m1 <= 20.0 AND m2 <= 0.1::DOUBLE AND m3 <= 0.5::DOUBLE AND m4 >= 0.01::DOUBLE AND m5 <= 0.3::DOUBLE) AS kept,
+  (NOT base_failed AND n_words >= 50 AND m1 >= 2.0 AND m1 <= 20.0 AND m2 <= 0.1::DOUBLE AND m3 <= 0.5::DOUBLE AND m4 >= 0.01::DOUBLE AND m5 <= 0.5::DOUBLE) AS kept,
   round(m1, 6) AS mean_word_chars, round(m2, 6) AS symbols_per_word, round(m3, 6) AS marks_per_word,
   round(m4, 6) AS stop_word_ratio, round(m5, 6) AS dup_line_ratio
 FROM q
