@@ -39,7 +39,8 @@ def chunks(text: Column) -> Column:
 def dedup_table(docs: DataFrame, digest=F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
 
-    Null text counts as empty, and all empty texts are one group. Of rows that repeat a doc_id, all that carry the
+    Null text counts as empty, and all empty texts are one group; a very long text is a list of more chunks. A null
+    doc_id is a group's keep_id only where all its doc_ids are null, and all its rows are kept then. Of rows that repeat a doc_id, all that carry the
     smallest doc_id of a group are kept (callers with repeated ids get them back repeated). Other columns are ignored.
     """
     texts = docs.select("doc_id", normalized(F.col("text")).alias("norm")).withColumn("chunks", chunks(F.col("norm")))

@@ -182,7 +182,8 @@ def _left_over(bands: DataFrame, classes: DataFrame, labels: DataFrame, docs: Da
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
-    Null and empty texts have no shingles and are linked with nothing; a text of one to four words is one shingle.
+    Null and empty texts have no shingles and are linked with nothing; a text of one to four words is one shingle; a
+    very long text has all its shingles. Sets hold 64-bit hashes of shingles, so links are exact up to equal hashes.
     Rows that repeat a doc_id get the same answer each; a null doc_id gets the component of its equal texts, or null.
     Other columns are ignored.
     """
