@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.embed import embedded
 from ..functions.vectors import cosine, sigmoid
 from ..operators import bm25, chunking, dense, fusion, graph, metrics, platform, transcripts
+from ..operators.lineage import cut
 from ..sources import files, web
 from . import retrieval
 
@@ -381,7 +382,7 @@ def graph_expand_1hop(spark, sf):
 def graph_expand_2hop(spark, sf):
     d = table(spark, sf, "documents").where(F.col("doc_id") % 25 == 0)
     seeds = d.select(F.floor(F.col("doc_id") / 50).alias("query_id"), F.col("source").alias("batch_id"), F.col("doc_id").alias("chunk_id"), (1 / (2 + F.col("doc_id") % 5)).alias("score"))
-    return graph.expand(seeds, graph.thematic_edges(chunks_of(spark, sf))).withColumn("score", r6("score"))
+    return graph.expand(seeds, cut(graph.thematic_edges(chunks_of(spark, sf)))).withColumn("score", r6("score"))
 
 
 @query()
@@ -391,7 +392,7 @@ def retrieve_end_to_end(spark, sf):
     asked = whole(questions_of(spark, sf))
     given = asked.select("query_id", "batch_id", F.lit(1).alias("rewrite_idx"), F.substring("text", 1, 60).alias("rewrite"), F.lit("semantic").alias("type"))
     vectors = embedded(whole(chunks).select("batch_id", "chunk_id", "text"), "text").drop("text")
-    edges = whole(graph.thematic_edges(chunks_of(spark, sf)))
+    edges = cut(whole(graph.thematic_edges(chunks_of(spark, sf))))
     found = retrieval.retrieve(whole(chunks), asked, edges, given, vectors=vectors)
     return found.select("query_id", "chunk_id", *(r6(c).alias(c) for c in ("score", "rerank_score", "final_score")), F.array_join("origins", ",").alias("origins"), "rank")
 
