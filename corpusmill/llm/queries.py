@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, licenses, mixing, neardup, packing, quality, rans, sharding, substrings, toxicity
+from . import ann, exact, licenses, mixing, neardup, negatives, packing, quality, rans, sharding, substrings, toxicity
 from .common import documents
 
 
@@ -49,6 +49,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_norm_bucketed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(embeddings(spark, sf_dir))
+
+
+def op12_learned_partition_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(embeddings(spark, sf_dir))
+
+
 QUERIES = {
     "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -60,6 +72,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_norm_bucketed_negatives": op11_norm_bucketed_negatives,
+    "op12_learned_partition_neighbours": op12_learned_partition_neighbours,
 }
 
 ORACLE_SQL = {
