@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, licenses, mixing, neardup, negatives, packing, quality, rans, sharding, substrings, toxicity
+from . import ann, divergence, exact, licenses, mixing, neardup, negatives, packing, quality, rans, sharding, substrings, toxicity
 from .common import documents
 
 
@@ -61,6 +61,10 @@ def op12_learned_partition_neighbours(spark: SparkSession, sf_dir: str) -> DataF
     return ann.nearest(embeddings(spark, sf_dir))
 
 
+def op13_radix_trie_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -74,10 +78,12 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_norm_bucketed_negatives": op11_norm_bucketed_negatives,
     "op12_learned_partition_neighbours": op12_learned_partition_neighbours,
+    "op13_radix_trie_divergence": op13_radix_trie_divergence,
 }
 
 ORACLE_SQL = {
     "op3_license_scan": licenses.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
     "op9_exact_dedup": exact.ORACLE_SQL,
+    "op13_radix_trie_divergence": divergence.ORACLE_SQL,
 }
