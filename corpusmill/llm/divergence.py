@@ -13,6 +13,7 @@ All arithmetic is in whole numbers.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,25 @@ from .common import materialize
 
 LEAST_DOCS, TERMS = 10, 10
 SCALE = 1_000_000_000
-PIECE, HEAD = 4_096, 256  # leaves of a piece that a task hands on, and leaves between two sampled ones
-RANGE_LEAVES, SAMPLED = 16_384, 8_192  # leaves before merging for one range, and the bound of the sampled border terms
-HELD_TERMS, HELD_BYTES, HELD_COUNTERS = 400_000, 1 << 26, 1 << 21  # what a task holds before it hands on a trie
-TILE, CELLS = 256, 1 << 20  # sources whose sums a task holds at a time; entries of a matrix of terms by sources
 SALTS = 16
 
+
+class Limits(NamedTuple):
+    """How much a task holds or hands on at a time; results don't depend on it."""
+
+    piece: int = 4_096  # leaves of a trie that a task hands on
+    head: int = 256  # leaves between two that may become borders
+    range_leaves: int = 16_384  # leaves before merging for one range
+    sampled: int = 8_192  # the bound of the sampled border terms
+    terms: int = 400_000  # terms, their bytes and counters before a task hands on what it holds
+    bytes: int = 1 << 26
+    counters: int = 1 << 21
+    tile: int = 256  # sources whose sums a task holds at a time
+    cells: int = 1 << 20  # entries of a matrix of terms by sources
+
+
+LIMITS = Limits()
+
 _BREAK = np.ones(256, bool)
 for _low, _high in ((0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _BREAK[_low:_high] = False
@@ -63,7 +77,8 @@ def counted(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, n_groups:
 class _Held:
     """The terms and counters of a task since it last handed on a trie."""
 
-    def __init__(self) -> None:
+    def __init__(self, limits: Limits) -> None:
+        self.limits = limits
         self.group: dict[tuple[str, str], int] = {}
         self.clear()
 
@@ -82,9 +97,9 @@ class _Held:
         self.n += len(found[0])
 
     def full(self) -> bool:
-        if self.n > 2 * HELD_COUNTERS or len(self.found) > 64:
+        if self.n > 2 * self.limits.counters or len(self.found) > 64:
             self.settle()
-        return len(self.term) > HELD_TERMS or self.bytes > HELD_BYTES or self.n > HELD_COUNTERS
+        return len(self.term) > self.limits.terms or self.bytes > self.limits.bytes or self.n > self.limits.counters
 
     def settle(self) -> None:
         h, g, n, d = (np.concatenate(v) for v in zip(*self.found, strict=True))
@@ -95,7 +110,7 @@ class _Held:
         self.found, self.n = [(h[at], g[at], *sums)], len(at)
 
     def pieces(self) -> Iterator[dict]:
-        """Tries of at most ``PIECE`` leaves of one lang, in byte order."""
+        """Tries of one lang each, in byte order."""
         if not self.found:
             return
         self.settle()
@@ -115,31 +130,33 @@ class _Held:
             own = np.flatnonzero(lang_of[g] == langs[lang])
             own = own[np.lexsort((g[own], place[own]))]
             leaves, leaf = np.unique(place[own], return_inverse=True)
-            for at in range(0, len(leaves), PIECE):
-                i, j = np.searchsorted(leaf, (at, at + PIECE))
+            for at in range(0, len(leaves), self.limits.piece):
+                i, j = np.searchsorted(leaf, (at, at + self.limits.piece))
                 c = np.zeros(j - i, tries.COUNTER)
                 c["leaf"], c["source"], c["n"], c["docs"] = leaf[i:j] - at, number[g[own[i:j]]], n[own[i:j]], d[own[i:j]]
-                yield tries.pack(lang, sources, [terms[x][1] for x in leaves[at : at + PIECE].tolist()], c)
+                yield tries.pack(lang, sources, [terms[x][1] for x in leaves[at : at + self.limits.piece].tolist()], c)
         self.clear()
 
 
-def _heads(rows: list[dict]) -> pa.Array:
-    return pa.array([[t for k, t in enumerate(tries.walk(r)) if k % HEAD == HEAD // 2 % max(r["leaves"], 1)] for r in rows], pa.list_(pa.binary()))
+def _count(limits: Limits):
+    """Tries of the texts (lang, source, text) of a task, with some of their terms."""
 
+    def handed(row: dict) -> pa.RecordBatch:
+        first = limits.head // 2 % max(row["leaves"], 1)
+        return tries.batch_of([row], {"heads": pa.array([[t for k, t in enumerate(tries.walk(row)) if k % limits.head == first]], pa.list_(pa.binary()))})
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tries of the texts (lang, source, text) of a task."""
-    held = _Held()
-    for batch in batches:
-        names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        group = np.array([held.group.setdefault(x, len(held.group)) for x in names], np.int64)
-        for i, j, data, offsets in K.text_slices(batch.column(2)):
-            held.add(data, offsets, group[i:j])
-            if held.full():
-                for row in held.pieces():
-                    yield tries.batch_of([row], {"heads": _heads([row])})
-    for row in held.pieces():
-        yield tries.batch_of([row], {"heads": _heads([row])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(limits)
+        for batch in batches:
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            group = np.array([held.group.setdefault(x, len(held.group)) for x in names], np.int64)
+            for i, j, data, offsets in K.text_slices(batch.column(2)):
+                held.add(data, offsets, group[i:j])
+                if held.full():
+                    yield from map(handed, held.pieces())
+        yield from map(handed, held.pieces())
+
+    return run
 
 
 def _cut(borders: list[bytes]):
@@ -153,26 +170,28 @@ def _cut(borders: list[bytes]):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(limits: Limits):
     """Merged tries of kept terms, a range of a lang after the other, and how often each source has them."""
 
     def handed(lang: str, merge: tries.Merge) -> Iterator[pa.RecordBatch]:
-        for row in merge.tries(lang, LEAST_DOCS, PIECE):
-            found = tries.counters(row)
-            total = np.bincount(found["source"], minlength=len(row["sources"])) * 0
+        for row in merge.tries(lang, LEAST_DOCS, limits.piece):
+            found, total = tries.counters(row), np.zeros(len(row["sources"]), np.int64)
             np.add.at(total, found["source"], found["n"])
             yield tries.batch_of([row], {"totals": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
-    now, merge = None, tries.Merge()
-    for batch in batches:
-        for row in tries.rows_of(batch):
-            if (row["lang"], row["range"]) != now:
-                if now:
-                    yield from handed(now[0], merge)
-                now, merge = (row["lang"], row["range"]), tries.Merge()
-            merge.add(row)
-    if now:
-        yield from handed(now[0], merge)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, merge = None, tries.Merge()
+        for batch in batches:
+            for row in tries.rows_of(batch):
+                if (row["lang"], row["range"]) != now:
+                    if now:
+                        yield from handed(now[0], merge)
+                    now, merge = (row["lang"], row["range"]), tries.Merge()
+                merge.add(row)
+        if now:
+            yield from handed(now[0], merge)
+
+    return run
 
 
 def shares(count: np.ndarray, n: np.ndarray, v: int) -> np.ndarray:
@@ -189,53 +208,67 @@ def shares(count: np.ndarray, n: np.ndarray, v: int) -> np.ndarray:
     return out + 1
 
 
-def _audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From merged tries by (lang, tile), in byte order: sums of pairs, and the best terms, of the tile's sources."""
-
-    def handed() -> Iterator[pa.RecordBatch]:
-        r, c = np.nonzero(sums)
-        rows = [(lang, sources[low + i], "pair", sources[j], s) for i, j, s in zip(r.tolist(), c.tolist(), sums[r, c].tolist(), strict=True)]
-        rows += [(lang, sources[low + i], "term", t.decode(), f) for i, best in enumerate(top) for f, t in best]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [*[pa.string()] * 4, pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["lang", "source", "part", "item", "value"])
-
-    now = None
-    for batch in batches:
-        for row in tries.rows_of(batch):
-            if (row["lang"], row["tile"]) != now:
-                if now:
-                    yield from handed()
-                now = lang, tile = row["lang"], row["tile"]
-                sources, v = [x["source"] for x in row["groups"]], row["v"]
-                n = np.array([x["n"] for x in row["groups"]], np.int64)
-                number = {s: k for k, s in enumerate(sources)}
-                low, high = tile * TILE, min(len(sources), (tile + 1) * TILE)
-                sums, top = np.zeros((high - low, len(sources)), np.int64), [[] for _ in range(low, high)]
-            found, terms = tries.counters(row), list(tries.walk(row))
-            at = np.array([number[s] for s in row["sources"]], np.int64)[found["source"]]
-            step = max(1, CELLS // len(sources))
-            for a in range(0, len(terms), step):
-                i, j = np.searchsorted(found["leaf"], (a, a + step))
-                count = np.zeros((min(step, len(terms) - a), len(sources)), np.int64)
-                count[found["leaf"][i:j] - a, at[i:j]] = found["n"][i:j]
-                p, q = shares(count, n, v), shares(count.sum(axis=1), n.sum(), v)
-                for k in range(low, high):
-                    own = p[:, k : k + 1]
-                    less = own - p[:, k + 1 :]  # f is the same either way: each two sources once
-                    sums[k - low, k + 1 :] += (less * less // (own + p[:, k + 1 :])).sum(axis=0)
-                    more = np.flatnonzero((count[:, k] > 0) & (p[:, k] > q))
-                    f = (p[more, k] - q[more]) ** 2 // (p[more, k] + q[more])
-                    if len(f) > TERMS:
-                        best = np.argsort(-f, kind="stable")[:TERMS]
-                        more, f = more[np.sort(best)], f[np.sort(best)]
-                    # The walk meets smaller terms first, so a stable sort leaves ties in UTF-8 order.
-                    top[k - low] = sorted([*top[k - low], *((x, terms[a + m]) for x, m in zip(f.tolist(), more.tolist(), strict=True))], key=lambda x: -x[0])[:TERMS]
-    if now:
-        yield from handed()
-
-
-def divergence(docs: DataFrame) -> DataFrame:
+class _Sums:
+    """What a tile of a lang's sources differ by from every later source, and their best terms so far."""
+
+    def __init__(self, row: dict, limits: Limits) -> None:
+        self.lang, self.v, self.cells = row["lang"], row["v"], limits.cells
+        self.sources = [x["source"] for x in row["groups"]]
+        self.n = np.array([x["n"] for x in row["groups"]], np.int64)
+        self.number = {s: k for k, s in enumerate(self.sources)}
+        self.tile = range(row["tile"] * limits.tile, min(len(self.sources), (row["tile"] + 1) * limits.tile))
+        self.sums, self.top = np.zeros((len(self.tile), len(self.sources)), np.int64), [[] for _ in self.tile]
+
+    def add(self, row: dict) -> None:
+        found, terms = tries.counters(row), list(tries.walk(row))
+        at = np.array([self.number[s] for s in row["sources"]], np.int64)[found["source"]]
+        step = max(1, self.cells // len(self.sources))
+        for a in range(0, len(terms), step):
+            i, j = np.searchsorted(found["leaf"], (a, a + step))
+            count = np.zeros((min(step, len(terms) - a), len(self.sources)), np.int64)
+            count[found["leaf"][i:j] - a, at[i:j]] = found["n"][i:j]
+            p, q = shares(count, self.n, self.v), shares(count.sum(axis=1), self.n.sum(), self.v)
+            for k, source in enumerate(self.tile):
+                own = p[:, source : source + 1]
+                less = own - p[:, source + 1 :]  # f is the same either way: each two sources once
+                self.sums[k, source + 1 :] += (less * less // (own + p[:, source + 1 :])).sum(axis=0)
+                self.best(k, terms[a:], count[:, source], p[:, source], q)
+
+    def best(self, k: int, terms: list[bytes], count: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+        """The walk meets smaller terms first, so stable sorts leave ties in UTF-8 order."""
+        more = np.flatnonzero((count > 0) & (p > q))
+        f = (p[more] - q[more]) ** 2 // (p[more] + q[more])
+        keep = np.argsort(-f, kind="stable")[:TERMS]
+        self.top[k] = sorted([*self.top[k], *((int(f[x]), terms[more[x]]) for x in keep)], key=lambda x: -x[0])[:TERMS]
+
+    def rows(self) -> pa.RecordBatch:
+        name = lambda k: (self.lang, self.sources[self.tile[k]])
+        r, c = np.nonzero(self.sums)
+        rows = [(*name(i), "pair", self.sources[j], s) for i, j, s in zip(r.tolist(), c.tolist(), self.sums[r, c].tolist(), strict=True)]
+        rows += [(*name(k), "term", t.decode(), f) for k, best in enumerate(self.top) for f, t in best]
+        columns, kinds = list(zip(*rows, strict=True)) or [[]] * 5, [*[pa.string()] * 4, pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["lang", "source", "part", "item", "value"])
+
+
+def _audit(limits: Limits):
+    """Sums and candidates from merged tries by lang and tile, each walked in byte order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = sums = None
+        for batch in batches:
+            for row in tries.rows_of(batch):
+                if (row["lang"], row["tile"]) != now:
+                    if sums:
+                        yield sums.rows()
+                    now, sums = (row["lang"], row["tile"]), _Sums(row, limits)
+                sums.add(row)
+        if sums:
+            yield sums.rows()
+
+    return run
+
+
+def divergence(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """lang, source, part, item, value and rank: how a lang's sources differ from each other and from the lang.
 
     ``docs`` has text, lang and source, null counting as ''; other columns are ignored. Repeated rows count each. Groups
@@ -245,26 +278,26 @@ def divergence(docs: DataFrame) -> DataFrame:
     """
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     docs = docs.select(plain("lang"), plain("source"), plain("text"))
-    pieces = materialize(docs.mapInArrow(_count, f"{tries.DDL}, heads array<binary>"), "tries")
+    pieces = materialize(docs.mapInArrow(_count(limits), f"{tries.DDL}, heads array<binary>"), "tries")
     leaves = pieces.agg(F.sum("leaves")).first()[0] or 0
-    sampled = pieces.select(F.explode("heads").alias("t"), "lang", "leaves").orderBy(F.xxhash64("t", "lang", "leaves")).limit(SAMPLED).select("t").collect()
-    sampled, ranges = sorted(bytes(r.t) for r in sampled), max(1, min(SAMPLED // 4, leaves // RANGE_LEAVES))
+    sampled = pieces.select(F.explode("heads").alias("t"), "lang", "leaves").orderBy(F.xxhash64("t", "lang", "leaves")).limit(limits.sampled).select("t").collect()
+    sampled, ranges = sorted(bytes(r.t) for r in sampled), max(1, min(limits.sampled // 4, leaves // limits.range_leaves))
     borders = sorted({sampled[len(sampled) * k // ranges] for k in range(1, ranges)}) if sampled else []
     parts = pieces.drop("heads").mapInArrow(_cut(borders), f"{tries.DDL}, range int")
     parts = parts.repartition("lang", "range").sortWithinPartitions("lang", "range")
-    merged = materialize(parts.mapInArrow(_merge, f"{tries.DDL}, totals array<long>"), "merged")
+    merged = materialize(parts.mapInArrow(_merge(limits), f"{tries.DDL}, totals array<long>"), "merged")
 
     groups = docs.select("lang", "source").distinct()
     totals = merged.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("t")).groupBy("lang", F.col("t.sources").alias("source")).agg(F.sum("t.totals").alias("n"))
     known = merged.groupBy("lang").agg(F.sum("leaves").alias("v"))
     groups = materialize(groups.join(totals, ["lang", "source"], "left").fillna(0, ["n"]), "groups")
     langs = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("groups")).join(known, "lang")
-    tiles = F.explode(F.sequence(F.lit(0), F.floor((F.size("groups") - 1) / TILE).cast("int"))).alias("tile")
+    tiles = F.explode(F.sequence(F.lit(0), F.floor((F.size("groups") - 1) / limits.tile).cast("int"))).alias("tile")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     langs = langs.select("lang", "groups", "v", tiles).select("*", salts)
     salted = merged.drop("totals").withColumn("salt", F.pmod(F.xxhash64("first"), F.lit(SALTS)).cast("int"))
     met = salted.join(langs, ["lang", "salt"]).sortWithinPartitions("lang", "tile", "first")
-    found = materialize(met.mapInArrow(_audit, "lang string, source string, part string, item string, value long"), "audit")
+    found = materialize(met.mapInArrow(_audit(limits), "lang string, source string, part string, item string, value long"), "audit")
 
     half = found.where("part = 'pair'").select("lang", "source", "item", "value")
     both = half.unionByName(half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
