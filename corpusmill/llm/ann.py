@@ -4,7 +4,8 @@
    them: median splits, then moves of rows to the cell of most of their neighbours as far as there is room.
 2. A network of one hidden layer learns, from the vector, how a row's neighbours spread over the cells.
 3. Every row of the table goes to its most probable cell; a query is routed to its most probable cells, as many as the
-   rows held out of the fit needed to find ``TARGET`` of their neighbours, and all rows there are ranked exactly.
+   rows held out of the fit needed to find ``TARGET`` of their neighbours, and all rows there are ranked exactly: first
+   those of the most probable cell, then from the others only those that reach the last of the best found there.
 """
 
 from __future__ import annotations
@@ -179,7 +180,7 @@ def _search(keep: int):
             length = np.sqrt((xv * xv).sum(axis=1))
             slack = 1e-9 * np.sqrt((qv * qv).sum(axis=1))
             owner, score, ids = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-            least = np.full(len(qi), -np.inf)
+            least = q["least"].to_numpy() - slack * length.max()
             for at in range(0, len(xi), 2048):
                 b = slice(at, at + 2048)
                 s = qv @ xv[b].T
@@ -223,10 +224,19 @@ def nearest(rows: DataFrame, every: int = 20, keep: int = TOP) -> DataFrame:
     sizes = F.broadcast(materialize(sizes, "sizes"))  # MOST_CELLS rows at most
     grp = lambda part: (F.col("cell").cast("long") * (1 << 32) + part).alias("grp")
     held = index.join(sizes, "cell").select("vec_id", "vector", grp(F.pmod(F.xxhash64("vec_id"), "parts")))
-    asked = index.where("cells IS NOT NULL").select("vec_id", "vector", F.explode("cells").alias("cell")).join(sizes, "cell")
-    asked = asked.select("vec_id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    asked = asked.select("vec_id", "vector", grp(F.col("part")))
-    found = meet(held, asked, ["vec_id"], _search(keep), "query_id long, vec_id long, score double")
+    asks = index.where("cells IS NOT NULL").select("vec_id", "vector", "cells")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("query_id", "rank", "vec_id", "score")
+
+    def met(asked: DataFrame) -> DataFrame:
+        """Of queries with a cell and the least score that counts."""
+        wide = asked.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return meet(held, wide.select("vec_id", "vector", "least", grp(F.col("part"))), ["vec_id"], _search(keep), "query_id long, vec_id long, score double")
+
+    first = materialize(ranked(met(asks.select("vec_id", "vector", F.lit(float("-inf")).alias("least"), F.col("cells")[0].alias("cell")))), "first")
+    last = first.where(F.col("rank") == keep).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    others = asks.join(last, "vec_id", "left").fillna(float("-inf"), ["least"])
+    others = others.select("vec_id", "vector", "least", F.explode(F.slice("cells", 2, MOST_CELLS)).alias("cell"))
+    return ranked(first.drop("rank").unionByName(met(others)))
