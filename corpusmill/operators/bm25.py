@@ -32,10 +32,30 @@ def build(chunks: DataFrame, stop_words=STOP_WORDS, stems: bool = True) -> Bm25I
     doc_len = tokens.select("batch_id", "chunk_id", F.size("terms").cast("long").alias("dl"))
     stats = doc_len.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("batch_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    return Bm25Index(postings, doc_len, stats, weighted(df, stats))
+
+
+def weighted(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(batch_id, term, df, idf): negative weights become a share of the batch's mean."""
     raw = df.join(stats, "batch_id").withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.groupBy("batch_id").agg((BM25_EPSILON * F.avg("raw")).alias("floor"))
-    idf = raw.join(floor, "batch_id").select("batch_id", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, doc_len, stats, idf)
+    return raw.join(floor, "batch_id").select("batch_id", "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+
+
+def wanted(queries: DataFrame, stop_words=STOP_WORDS, stems: bool = True) -> DataFrame:
+    """(query_id, batch_id, term, qtf) of the queries' texts."""
+    found = queries.select("query_id", "batch_id", F.explode(tokens_of(F.col("text"), stop_words, stems)).alias("term"))
+    return found.groupBy("query_id", "batch_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def saturated(tf: Column, dl: Column, avgdl: Column, k1: float = BM25_K1, b: float = BM25_B) -> Column:
+    """What a term adds to the score of a chunk, before its weight."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def best(scored: DataFrame, top_k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top_k) & (F.col("score") > 0))
 
 
 def write(index: Bm25Index, path: str) -> None:
@@ -53,11 +73,8 @@ def search(
     index: Bm25Index, queries: DataFrame, top_k: int = SPARSE_TOP_K, k1: float = BM25_K1, b: float = BM25_B, stop_words=STOP_WORDS, stems: bool = True
 ) -> DataFrame:
     """(query_id, batch_id, chunk_id, score, rank): the best chunks of each query's batch, positive scores only, after the cut."""
-    wanted = queries.select("query_id", "batch_id", F.explode(tokens_of(F.col("text"), stop_words, stems)).alias("term"))
-    wanted = wanted.groupBy("query_id", "batch_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = index.postings.join(wanted.join(index.idf, ["batch_id", "term"]), ["batch_id", "term"])
+    asked = wanted(queries, stop_words, stems)
+    hits = index.postings.join(asked.join(index.idf, ["batch_id", "term"]), ["batch_id", "term"])
     hits = hits.join(index.doc_len, ["batch_id", "chunk_id"]).join(index.stats, "batch_id")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "batch_id", "chunk_id").agg(F.sum(part).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top_k) & (F.col("score") > 0))
+    part = F.col("qtf") * F.col("idf") * saturated(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    return best(hits.groupBy("query_id", "batch_id", "chunk_id").agg(F.sum(part).alias("score")), top_k)

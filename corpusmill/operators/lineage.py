@@ -1,13 +1,39 @@
-"""Cutting the lineage of small results that a plan reads several times."""
+"""Cutting the lineage of results that a plan reads several times."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where that is unset, a local session gets a folder of its own; a cluster must name one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="corpusmill-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder of the session, or kept in memory and on disk where it names none."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """``df``, written once to the shared folder and read again from there; removed when the JVM ends.
+
+    Executors that are lost take nothing with them, and what is built on ``df`` doesn't run it again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)

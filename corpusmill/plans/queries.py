@@ -9,7 +9,7 @@ from ..config import CACHE_SCORE, COOLDOWN_S, MIN_CARD_CONFIDENCE
 from ..functions import text as T
 from ..functions.embed import embedded
 from ..functions.vectors import cosine, sigmoid
-from ..operators import bm25, chunking, dense, fusion, graph, metrics, platform, transcripts
+from ..operators import bm25, chunking, dense, fusion, graph, ivf, metrics, platform, transcripts
 from ..operators.lineage import cut
 from ..sources import files, web
 from . import retrieval
@@ -187,10 +187,9 @@ def dense_topk(spark, sf):
 SELECT query_id, batch_id, chunk_id, round(score, 6) AS score FROM o WHERE n = 1 AND score >= 0.2"""
 )
 def cache_nearest(spark, sf):
-    rows = vectors_of(spark, sf).join(vector_queries(spark, sf), "batch_id").where("chunk_id <> query_id")
-    scored = rows.select("query_id", "batch_id", "chunk_id", cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
-    best = F.row_number().over(fusion._best_first())
-    return scored.withColumn("n", best).where("n = 1 AND score >= 0.2").select("query_id", "batch_id", "chunk_id", r6("score").alias("score"))
+    two = dense.search(vectors_of(spark, sf), vector_queries(spark, sf), 2, 0.2).where("chunk_id <> query_id")
+    first = F.row_number().over(fusion._best_first())
+    return two.withColumn("n", first).where("n = 1").select("query_id", "batch_id", "chunk_id", r6("score").alias("score"))
 
 
 @query(f"WITH {_DENSE} SELECT query_id, batch_id, chunk_id, round(score, 6) AS score FROM dr WHERE rank = 1 AND score >= 0.96")
@@ -199,10 +198,10 @@ def cache_hit(spark, sf):
 
 
 def wide_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """All vectors, and every fiftieth as a question to all; questions are sent to the tasks that hold vectors."""
+    """All vectors, and every fiftieth as a question to all."""
     v = table(spark, sf, "embeddings").where(F.col("vec_id") % 50 == 0)
     asked = v.select(F.col("vec_id").alias("query_id"), F.lit("all").alias("batch_id"), F.col("embedding").alias("query_vector"))
-    return whole(vectors_of(spark, sf)), F.broadcast(asked)
+    return whole(vectors_of(spark, sf)), asked
 
 
 _WIDE_DENSE = _DENSE.replace("q.label = v.label WHERE q.vec_id % 10 = 0", "q.vec_id % 50 = 0")
@@ -213,6 +212,12 @@ def dense_topk_corpus(spark, sf):
     return dense.search(*wide_vectors(spark, sf)).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
 
 
+@query(f"WITH {_WIDE_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM dr WHERE rank <= 60 AND score >= 0.3")
+def dense_topk_ivf(spark, sf):
+    vectors, asked = wide_vectors(spark, sf)
+    return ivf.search(ivf.build(vectors), asked).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
+
+
 @query(f"WITH {_WIDE_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score FROM dr WHERE rank = 1 AND score >= 0.96")
 def cache_hit_corpus(spark, sf):
     return dense.nearest(*wide_vectors(spark, sf), CACHE_SCORE).select("query_id", "chunk_id", r6("score").alias("score"))
