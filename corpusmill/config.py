@@ -9,6 +9,7 @@ MIN_DENSE_SCORE, MIN_SCORE = 0.30, 0.10
 ALPHA, RRF_K = 0.45, 20
 CONSENSUS = 0.1
 REWRITE_WEIGHTS = {"original": 1.0, "semantic": 0.8, "decomposition": 0.7, "keyword": 0.5}
+MAX_SEMANTIC = 3
 DRIFT_GUARDS = {"semantic": 0.65, "decomposition": 0.55}
 EDGE_WEIGHTS = {
     "same_section": 0.92,

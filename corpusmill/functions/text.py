@@ -44,6 +44,11 @@ def keyword_rewrite(text: Column) -> Column:
     return F.when((joined != "") & (joined != F.lower(collapse_space(text))), joined)
 
 
+def once(value: Column) -> Column:
+    """``value`` behind a generator, which filters on it are not pushed below: they read it instead of computing it again."""
+    return F.explode(F.array(value))
+
+
 def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / CHARS_PER_TOKEN)
 

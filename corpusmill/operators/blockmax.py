@@ -1,12 +1,10 @@
-"""A stored lexical index whose posting blocks know the most that they can add to a score.
+"""A stored lexical index whose posting lists know, block by block, the most that they can add to a score.
 
-Chunks of a batch stand in the order of their lengths and are cut into blocks. Of each term a block has one list of its
-chunks, built where the chunks lie, and a bound: the largest saturated count of the term in the block. A search
-
-1. scores the blocks whose bounds add up to most, which gives a score that the last of the best reaches at least,
-2. parts its terms: those of the smallest bounds, which together stay under that score, cannot make a hit on their own,
-   so only the lists of the others give candidates, and only in blocks whose sum reaches the score,
-3. reads the lists of the small terms in blocks where a candidate with all bounds added still reaches the score.
+Chunks of a batch are dealt to groups; in a group they stand in the order of their lengths, in blocks of ``BLOCK``. Lists
+are made where a group lies. A search copies its questions to the groups of their batch; a task holds one group and, for
+each question, adds up the largest parts of its terms for each block, scores the blocks of the highest sums first, and
+then only those whose sum reaches the last of the best found. Postings of other blocks are not touched, and no pair of a
+question and a posting is ever a row.
 """
 
 from __future__ import annotations
@@ -16,109 +14,159 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SPARSE_TOP_K
-from ..functions.text import STOP_WORDS
+from ..config import BM25_B, BM25_K1, SPARSE_TOP_K
+from ..functions.text import STOP_WORDS, once
 from . import bm25
 from .lineage import cut
+from .meeting import copied, dealt, firsts, groups, meet, parts_of
 
-BLOCK = 32  # chunks of a block
-PROBES = 4  # blocks that are scored first for each question
+GROUP, BLOCK = 4_096, 32  # chunks that a task holds at a time, about; chunks of a block
+PROBES = 4  # blocks that are scored first
+KEYS = ["batch_id", "part"]
 
 
 class BlockIndex(NamedTuple):
-    blocks: DataFrame  # batch_id, block, term, chunk_ids, tf, dl
-    bounds: DataFrame  # batch_id, block, term, n, most
+    lists: DataFrame  # batch_id, part, term, at, n; of the null term: chunk_ids, and their lengths as n
+    parts: DataFrame  # batch_id, parts
     stats: DataFrame  # batch_id, n_chunks, avgdl
     idf: DataFrame  # batch_id, term, df, idf
 
 
-def _lists(size: int):
-    """Posting lists of each block of ``size`` chunks; the list of the null term has all chunks of the block."""
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of each group of (batch_id, part, chunk_id, terms) rows."""
 
-    def block_of(part: int, number: int, rows: pa.RecordBatch) -> pa.RecordBatch:
-        terms = rows.column(2)
-        ends = np.asarray(terms.offsets)
-        dl = np.diff(ends).astype(np.int32)
+    def of(table: pa.Table) -> pa.RecordBatch:
+        rows = table.combine_chunks()
+        terms, chunk = (rows.column(c).chunk(0) for c in ("terms", "chunk_id"))
+        dl = np.diff(np.asarray(terms.offsets)).astype(np.int32)
         codes = terms.flatten().dictionary_encode()
-        names, code = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         pair, tf = np.unique(code * len(rows) + np.repeat(np.arange(len(rows)), dl), return_counts=True)
-        term, doc = pair // len(rows), pair % len(rows)
-        cuts = np.searchsorted(term, np.arange(len(names) + 1)).astype(np.int32)
-        cuts = pa.array(np.append(cuts, cuts[-1] + len(rows)).astype(np.int32))
-        doc, tf = np.concatenate((doc, np.arange(len(rows)))), np.concatenate((tf, np.zeros(len(rows))))
-        n = len(names) + 1
-        return pa.RecordBatch.from_arrays(
-            [
-                rows.column(0).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, part << 32 | number, np.int64)), pa.concat_arrays([names.cast(pa.string()), pa.nulls(1, pa.string())]),
-                pa.ListArray.from_arrays(cuts, rows.column(1).take(pa.array(doc))), pa.ListArray.from_arrays(cuts, pa.array(tf.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(dl[doc])),
-            ],
-            ["batch_id", "block", "term", "chunk_ids", "tf", "dl"],
-        )
+        ends = np.searchsorted(pair // len(rows), np.arange(len(codes.dictionary) + 1))
+        n, first = len(codes.dictionary), pa.array(np.zeros(len(codes.dictionary) + 1, np.int64))
+        at = pa.ListArray.from_arrays(pa.array(np.append(ends, ends[-1]).astype(np.int32)), pa.array((pair % len(rows)).astype(np.int32)))
+        counts = pa.ListArray.from_arrays(pa.array(np.append(ends, ends[-1] + len(rows)).astype(np.int32)), pa.array(np.concatenate((tf, dl)).astype(np.int32)))
+        ids = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n + 1), len(rows)).astype(np.int32)), chunk)
+        names = pa.concat_arrays([codes.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+        key = [rows.column(c).chunk(0).take(first) for c in KEYS]
+        return pa.RecordBatch.from_arrays([*key, names, at, counts, ids], [*KEYS, "term", "at", "n", "chunk_ids"])
+
+    now, held = None, []
+    for batch in batches:
+        keys = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in KEYS), strict=True))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i < j:
+                if held and keys[i] != now:
+                    yield of(pa.Table.from_batches(held))
+                    held = []
+                now = keys[i]
+                held.append(batch.slice(i, j - i))
+    if held:
+        yield of(pa.Table.from_batches(held))
+
+
+class Group:
+    """The posting lists of a group, and the largest parts of their blocks."""
+
+    def __init__(self, terms: list, at: np.ndarray, tf: np.ndarray, ends: np.ndarray, dl: np.ndarray, avgdl: float, block: int, k1: float, b: float) -> None:
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.at, self.ends, self.size = at, ends, len(dl)
+        self.block, self.blocks = block, -(-len(dl) // block)
+        self.part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at] / avgdl))
+        owner, place = np.repeat(np.arange(len(terms)), np.diff(ends)), at // block
+        new = np.ones(len(at), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
+        self.run = np.flatnonzero(new)  # a run: the postings of a term in a block
+        self.run_end = np.append(self.run[1:], len(at))
+        self.run_block, self.run_most = place[self.run], np.maximum.reduceat(self.part, self.run) if len(at) else np.empty(0)
+        self.term_runs = np.searchsorted(owner[self.run], np.arange(len(terms) + 1))
+
+    def search(self, terms: list, weights: list, keep: int, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places, their scores, postings read): the ``keep`` best are among them."""
+        known = [(self.number[t], w) for t, w in zip(terms, weights, strict=True) if t in self.number]
+        if not known:
+            return np.empty(0, np.int64), np.empty(0), 0
+        runs = np.concatenate([np.arange(self.term_runs[t], self.term_runs[t + 1]) for t, _ in known])
+        weight = np.repeat([w for _, w in known], [self.term_runs[t + 1] - self.term_runs[t] for t, _ in known])
+        bound = np.bincount(self.run_block[runs], np.maximum(weight, 0) * self.run_most[runs], self.blocks)
+        score, read = np.zeros(self.size), 0
+        done = np.zeros(self.blocks, bool)
+        early = np.argsort(-bound, kind="stable")[:probes]
+        reach = 0.0
+        for chosen in (early, None):
+            wanted = np.zeros(self.blocks, bool)
+            if chosen is not None:
+                wanted[chosen] = True
+            else:
+                wanted = (bound >= reach - 1e-8) & ~done
+            done |= wanted
+            own = wanted[self.run_block[runs]]
+            start, n = self.run[runs[own]], (self.run_end - self.run)[runs[own]]
+            if not len(n):
+                continue
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            score += np.bincount(self.at[at], np.repeat(weight[own], n) * self.part[at], self.size)
+            read += len(at)
+            if len(score) > keep:
+                reach = max(0.0, np.partition(score, len(score) - keep)[len(score) - keep])
+        some = np.flatnonzero(score > 0)
+        return some, score[some], read
+
 
+def _kernel(keep: int, block: int, k1: float, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = number = 0
-        left: pa.Table | None = None
-
-        def full(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
-            """Blocks of whole ``size``, or of the rest of a batch; what may go on comes last, as a table."""
-            at = 0
-            batch_ids = table.column(0).to_pylist()
-            while at < len(batch_ids):
-                end = at + 1
-                while end < len(batch_ids) and end - at < size and batch_ids[end] == batch_ids[at]:
-                    end += 1
-                if end == len(batch_ids) and end - at < size and not last:
-                    break
-                yield table.slice(at, end - at).combine_chunks().to_batches()[0]
-                at = end
-            yield table.slice(at)
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            part = batch.column(3)[0].as_py()
-            rows = pa.Table.from_batches([batch.select([0, 1, 2])])
-            for found in full(pa.concat_tables([left, rows]) if left is not None else rows, False):
-                if isinstance(found, pa.Table):
-                    left = found
-                else:
-                    yield block_of(part, number, found)
-                    number += 1
-        if left is not None and len(left):
-            for found in full(left, True):
-                if isinstance(found, pa.RecordBatch):
-                    yield block_of(part, number, found)
-                    number += 1
+        seen = None
+        for held, asks in groups(batches, KEYS, 64):
+            if held is not seen:
+                seen, names = held, held["term"].to_pylist()
+                whole = names.index(None)
+                ids = held["chunk_ids"].combine_chunks()[whole].values
+                rank = np.empty(len(ids), np.int64)  # of chunk_ids, which decide ties
+                rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                own = held.take(pa.array([i for i in range(len(names)) if i != whole]))
+                at, n = (own[c].combine_chunks() for c in ("at", "n"))
+                ends = np.concatenate(([0], np.cumsum(np.diff(np.asarray(at.offsets)))))
+                dl = held["n"].combine_chunks()[whole].values.to_numpy()
+                group = None
+            for i in range(len(asks)):
+                if group is None:
+                    group = Group(own["term"].to_pylist(), at.flatten().to_numpy(), n.flatten().to_numpy(), ends, dl, asks["avgdl"][i].as_py(), block, k1, b)
+                found, score, _ = group.search(asks["terms"][i].as_py(), asks["weights"][i].as_py(), keep)
+                take = firsts(np.zeros(len(found), np.int64), np.round(score, 9), rank[found], keep)
+                if len(take):
+                    same = [asks[c].combine_chunks().take(pa.array(np.full(len(take), i))) for c in ("query_id", "batch_id")]
+                    yield pa.RecordBatch.from_arrays([*same, ids.take(pa.array(found[take])), pa.array(score[take])], ["query_id", "batch_id", "chunk_id", "score"])
 
     return run
 
 
-def build(chunks: DataFrame, stop_words=STOP_WORDS, stems: bool = True, size: int = BLOCK) -> BlockIndex:
-    """The index of (batch_id, chunk_id, text), with the statistics of ``bm25.build``. Chunks without terms don't count.
+def build(chunks: DataFrame, stop_words=STOP_WORDS, stems: bool = True) -> BlockIndex:
+    """The index of (batch_id, chunk_id, text), with the statistics of ``bm25.build``.
 
-    Terms are shuffled once, with their chunks, into ranges of batches and lengths; lists are made there.
+    Chunks without terms, and those without a batch, don't count. Terms are shuffled once, with their chunks.
     """
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
-    tokens = chunks.select("batch_id", "chunk_id", bm25.tokens_of(F.col("text"), stop_words, stems).alias("terms")).where("size(terms) > 0 AND batch_id IS NOT NULL")
-    ranged = tokens.repartitionByRange("batch_id", F.size("terms"), "chunk_id").sortWithinPartitions("batch_id", F.size("terms"), "chunk_id")
-    ddl = f"batch_id {kinds['batch_id']}, block long, term string, chunk_ids array<{kinds['chunk_id']}>, tf array<int>, dl array<int>"
-    lists = cut(ranged.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(_lists(size), ddl))
-    whole, blocks = lists.where("term IS NULL"), lists.where("term IS NOT NULL")
-    stats = whole.select("batch_id", F.explode("dl").alias("dl")).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.col("dl").cast("long")).alias("avgdl"))
-    stats = cut(stats)
-    df = blocks.groupBy("batch_id", "term").agg(F.sum(F.size("chunk_ids").cast("long")).alias("df"))
-    part = F.transform(F.arrays_zip("tf", "dl"), lambda x: bm25.saturated(x["tf"], x["dl"], F.col("avgdl")))
-    bounds = blocks.join(stats, "batch_id").select("batch_id", "block", "term", F.size("chunk_ids").alias("n"), F.array_max(part).alias("most"))
-    return BlockIndex(blocks, cut(bounds), stats, cut(bm25.weighted(df, stats)))
+    parts = cut(parts_of(chunks.where("batch_id IS NOT NULL"), ["batch_id"], GROUP))
+    tokens = chunks.select("batch_id", "chunk_id", once(bm25.tokens_of(F.col("text"), stop_words, stems)).alias("terms")).where("size(terms) > 0")
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = dealt(tokens, parts, ["batch_id"], "chunk_id").repartition(n, *KEYS).sortWithinPartitions(*KEYS, F.size("terms"), "chunk_id")
+    ddl = f"batch_id {kinds['batch_id']}, part int, term string, at array<int>, n array<int>, chunk_ids array<{kinds['chunk_id']}>"
+    lists = cut(laid.select(*KEYS, "chunk_id", "terms").mapInArrow(_listed, ddl))
+    length = lists.where("term IS NULL").select("batch_id", F.explode("n").alias("dl"))
+    stats = cut(length.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.col("dl").cast("long")).alias("avgdl")))
+    df = lists.where("term IS NOT NULL").groupBy("batch_id", "term").agg(F.sum(F.size("at").cast("long")).alias("df"))
+    return BlockIndex(lists, parts, stats, cut(bm25.weighted(df, stats)))
 
 
 def write(index: BlockIndex, path: str) -> None:
-    """The index as tables: lists by block, bounds and weights by term, so that a search reads the groups of rows it needs."""
+    """The index as tables: lists by group, weights by term, so that a search reads the groups of rows it needs."""
     for name, df in index._asdict().items():
-        keys = {"blocks": ["batch_id", "block"], "stats": ["batch_id"]}.get(name, ["batch_id", "term"])
+        keys = {"lists": KEYS, "idf": ["batch_id", "term"]}.get(name, ["batch_id"])
         df.repartition(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
@@ -126,52 +174,14 @@ def read(spark: SparkSession, path: str) -> BlockIndex:
     return BlockIndex(*(spark.read.parquet(f"{path}/{name}") for name in BlockIndex._fields))
 
 
-def _parts(index: BlockIndex, terms: DataFrame) -> DataFrame:
-    """(query_id, batch_id, block, chunk_id, part) of every chunk in the lists of (query_id, batch_id, block, term, weight)."""
-    hits = index.blocks.join(terms, ["batch_id", "block", "term"]).join(index.stats, "batch_id")
-    rows = hits.select("query_id", "batch_id", "block", "weight", "avgdl", F.explode(F.arrays_zip("chunk_ids", "tf", "dl")).alias("x"))
-    part = F.col("weight") * bm25.saturated(F.col("x.tf"), F.col("x.dl"), F.col("avgdl"))
-    return rows.select("query_id", "batch_id", "block", F.col("x.chunk_ids").alias("chunk_id"), part.alias("part"))
-
-
-def search(index: BlockIndex, queries: DataFrame, top_k: int = SPARSE_TOP_K, stop_words=STOP_WORDS, stems: bool = True, probes: int = PROBES) -> DataFrame:
+def search(
+    index: BlockIndex, queries: DataFrame, top_k: int = SPARSE_TOP_K, stop_words=STOP_WORDS, stems: bool = True, block: int = BLOCK, k1: float = BM25_K1, b: float = BM25_B
+) -> DataFrame:
     """The result of ``bm25.search``: (query_id, batch_id, chunk_id, score, rank)."""
-    return searched(index, queries, top_k, stop_words, stems, probes)[0]
-
-
-def searched(
-    index: BlockIndex, queries: DataFrame, top_k: int = SPARSE_TOP_K, stop_words=STOP_WORDS, stems: bool = True, probes: int = PROBES
-) -> tuple[DataFrame, DataFrame]:
-    """(the result, the lists that were read: query_id, batch_id, block, term, n)."""
-    query, chunk = ["query_id", "batch_id"], ["query_id", "batch_id", "block", "chunk_id"]
-    weight = (F.col("qtf") * F.col("idf")).alias("weight")
-    terms = bm25.wanted(queries, stop_words, stems).join(index.idf, ["batch_id", "term"]).select(*query, "term", weight)
-    most = F.greatest(F.col("weight"), F.lit(0.0)) * F.col("most")
-    lists = terms.join(index.bounds, ["batch_id", "term"]).select(*query, "block", "term", "weight", "n", most.alias("most"))
-    lists = cut(lists.withColumn("bound", F.sum("most").over(Window.partitionBy(*query, "block"))))
-
-    blocks = lists.select(*query, "block", "bound").distinct()
-    turn = F.row_number().over(Window.partitionBy(*query).orderBy(F.desc("bound"), "block"))
-    early = lists.join(blocks.withColumn("turn", turn).where(F.col("turn") <= probes).drop("bound", "turn"), [*query, "block"], "left_semi")
-    score = lambda rows: rows.groupBy(*chunk).agg(F.sum("part").alias("score"))
-    first = bm25.best(score(_parts(index, early)).drop("block"), top_k)
-    reach = cut(first.where(F.col("rank") == top_k).select(*query, F.col("score").alias("reach")))
-
-    small = F.sum("top").over(Window.partitionBy(*query).orderBy("top", "term"))
-    by_term = lists.groupBy(*query, "term").agg(F.max("most").alias("top"), F.first("weight").alias("weight")).join(reach, query, "left")
-    # Negative parts are always added first, so that what is missing later can only raise a score.
-    split = by_term.select(*query, "term", ((F.col("weight") >= 0) & (small < F.coalesce("reach", F.lit(0.0)) - 1e-8)).alias("small"), "reach")
-    open_ = lists.join(split, [*query, "term"]).where("bound >= coalesce(reach, 0) - 1e-8")
-    large = open_.where("NOT small")
-    rest = open_.where("small").groupBy(*query, "block").agg(F.sum("most").alias("rest"))
-    found = score(_parts(index, large)).join(rest, [*query, "block"], "left").join(reach, query, "left").fillna(0.0, ["rest", "reach"])
-    # The k-th best of the parts found so far is reached as well.
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    better = found.withColumn("nth", nth).where(F.col("nth") == top_k).select(*query, F.col("score").alias("better"))
-    found = cut(found.join(better, query, "left").where("score + rest >= greatest(reach, coalesce(better, 0)) - 1e-8").select(*chunk, "score", "rest"))
-    again = found.where("rest > 0").select(*query, "block").distinct()
-    late = open_.where("small").join(again, [*query, "block"], "left_semi")
-    added = _parts(index, late).join(found.select(*chunk), chunk, "left_semi")
-    scored = found.select(*chunk, F.col("score").alias("part")).unionByName(added)
-    read = [x.select(*query, "block", "term", "n") for x in (early, large, late)]
-    return bm25.best(score(scored).drop("block"), top_k), read[0].unionByName(read[1]).unionByName(read[2]).distinct()
+    terms = bm25.wanted(queries, stop_words, stems).join(index.idf, ["batch_id", "term"])
+    listed = F.array_sort(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("weight"))))  # of one question's text
+    asks = terms.groupBy("query_id", "batch_id").agg(listed.alias("t")).join(index.stats, "batch_id")
+    asks = asks.select("query_id", "batch_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"), "avgdl")
+    kinds = {f.name: f.dataType.simpleString() for f in [*asks.schema, *index.lists.schema]}
+    ddl = f"query_id {kinds['query_id']}, batch_id {kinds['batch_id']}, chunk_id {kinds['chunk_ids'][6:-1]}, score double"
+    return bm25.best(meet(index.lists, copied(asks, index.parts, ["batch_id"]), KEYS, ["term"], _kernel(top_k, block, k1, b), ddl), top_k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BM25_B, BM25_EPSILON, BM25_K1, SPARSE_TOP_K
 from ..functions.stem import stem_lists
-from ..functions.text import STOP_WORDS, terms
+from ..functions.text import STOP_WORDS, once, terms
 
 
 class Bm25Index(NamedTuple):
@@ -27,7 +27,7 @@ def tokens_of(text: Column, stop_words=STOP_WORDS, stems: bool = True) -> Column
 
 def build(chunks: DataFrame, stop_words=STOP_WORDS, stems: bool = True) -> Bm25Index:
     """Statistics of each batch; chunks without terms don't count. Each row is a chunk, so its terms are counted where it lies."""
-    tokens = chunks.select("batch_id", "chunk_id", tokens_of(F.col("text"), stop_words, stems).alias("terms")).where(F.size("terms") > 0)
+    tokens = chunks.select("batch_id", "chunk_id", once(tokens_of(F.col("text"), stop_words, stems)).alias("terms")).where(F.size("terms") > 0)
     postings = tokens.select("batch_id", "chunk_id", F.explode("terms").alias("term")).groupBy("batch_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     doc_len = tokens.select("batch_id", "chunk_id", F.size("terms").cast("long").alias("dl"))
     stats = doc_len.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
@@ -44,7 +44,8 @@ def weighted(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def wanted(queries: DataFrame, stop_words=STOP_WORDS, stems: bool = True) -> DataFrame:
     """(query_id, batch_id, term, qtf) of the queries' texts."""
-    found = queries.select("query_id", "batch_id", F.explode(tokens_of(F.col("text"), stop_words, stems)).alias("term"))
+    lists = queries.select("query_id", "batch_id", once(tokens_of(F.col("text"), stop_words, stems)).alias("terms"))
+    found = lists.select("query_id", "batch_id", F.explode("terms").alias("term"))
     return found.groupBy("query_id", "batch_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 

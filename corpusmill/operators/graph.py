@@ -2,76 +2,129 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EDGE_WEIGHTS, HOP_DECAY, HOPS, MAX_EXPANDED, MIN_EXPAND, RESONANCE
-from ..functions.text import keywords
+from ..functions.stem import stem_lists
+from ..functions.text import keywords, once
 from .lineage import cut
-
-BLOCK = 512  # chunks of a batch that are compared with as many others in one task
-_WORDS = 4096  # keywords whose counts are added up at once
-
-
-def _overlaps(most: int, least: int):
-    """The ``most`` chunks of one block that share the most keywords, ``least`` or more, with each chunk of another."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("chunk_id", kind="stable")
-            rows = [[np.asarray(k, np.int64) for k in side["keywords"]] for side in (left, right)]
-            common = np.intersect1d(*(np.unique(np.concatenate(r)) for r in rows))
-            shared = np.zeros((len(left), len(right)), np.float32)
-            places = []
-            for r in rows:
-                doc = np.repeat(np.arange(len(r)), [len(k) for k in r])
-                word = np.concatenate(r)
-                at = np.searchsorted(common, word)
-                held = (at < len(common)) & (common[np.minimum(at, max(0, len(common) - 1))] == word) if len(common) else np.zeros(len(word), bool)
-                places.append((doc[held], at[held]))
-            for w in range(0, len(common), _WORDS):
-                one = []
-                for (doc, at), r in zip(places, rows, strict=True):
-                    x = np.zeros((len(r), min(_WORDS, len(common) - w)), np.float32)
-                    now = (at >= w) & (at < w + _WORDS)
-                    x[doc[now], at[now] - w] = 1
-                    one.append(x)
-                shared += one[0] @ one[1].T
-            shared[left["chunk_id"].to_numpy()[:, None] == right["chunk_id"].to_numpy()[None, :]] = 0
-            best = np.argsort(-shared, axis=1, kind="stable")[:, :most]
-            for i, js in enumerate(best):
-                out += [(left["batch_id"].iloc[i], left["chunk_id"].iloc[i], right["chunk_id"].iloc[j], int(shared[i, j])) for j in js if shared[i, j] >= least]
-        return pd.DataFrame(out, columns=["batch_id", "src", "dst", "overlap"])
+from .meeting import dealt, groups, meet, parts_of
+
+PART = 8_192  # chunks of a batch that a task holds at a time, about
+_FREQUENT = 1_024  # keywords of a part whose holders are kept as a row of marks
+
+
+class _Part:
+    """The keywords of a part's chunks, from keyword to chunks."""
+
+    def __init__(self, keywords: pa.Array) -> None:
+        ends = np.asarray(keywords.offsets)
+        word, self.size = np.asarray(keywords.values)[ends[0] : ends[-1]], len(keywords)
+        owner = np.repeat(np.arange(self.size), np.diff(ends))
+        order = np.argsort(word, kind="stable")
+        self.words, self.start, self.count = np.unique(word[order], return_index=True, return_counts=True)
+        self.owner = owner[order]
+        often = np.argsort(-self.count, kind="stable")[:_FREQUENT]
+        often = often[self.count[often] * 16 > self.size]
+        self.row = np.full(len(self.words), -1)
+        self.row[often] = np.arange(len(often))
+        self.marks = np.zeros((len(often), self.size), np.uint8)
+        for i, w in enumerate(often):
+            self.marks[i, self.owner[self.start[w] : self.start[w] + self.count[w]]] = 1
+
+    def nearest(self, words: np.ndarray, itself: int | None, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` chunks that share the most of ``words``, ``least`` or more; ties go to the first.
+
+        Rare keywords are counted first. What is left can add their number at most, so frequent ones are looked up only
+        for chunks that can still reach the last of the best.
+        """
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        at = at[self.words[at] == words]
+        rare, often = at[self.row[at] < 0], self.row[at[self.row[at] >= 0]]
+        n = self.count[rare]
+        place = np.repeat(self.start[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.owner[place], minlength=self.size)
+        if itself is not None:
+            shared[itself] = -len(words)
+        reach = max(least, int(np.partition(shared, self.size - most)[self.size - most]) if self.size > most else least)
+        left = np.flatnonzero(shared + len(often) >= reach)
+        if len(often) and len(left):
+            shared[left] += self.marks[np.ix_(often, left)].sum(axis=0, dtype=np.int64)
+        left = left[shared[left] >= least]
+        best = left[np.argsort(-shared[left], kind="stable")[:most]]
+        return best, shared[best]
+
+
+def _nearest(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for held, asks in groups(batches, ["batch_id", "part"], 256):
+            if held is not seen:
+                seen, ids = held, held["chunk_id"].combine_chunks()
+                part, places = _Part(held["keywords"].combine_chunks()), {c: i for i, c in enumerate(ids.to_pylist())}
+            src, dst, overlap = [], [], []
+            words, ends = (np.asarray(x) for x in (asks["words"].combine_chunks().values, asks["words"].combine_chunks().offsets))
+            for k, (c, least) in enumerate(zip(asks["src"].to_pylist(), asks["least"].to_pylist(), strict=True)):
+                found, shared = part.nearest(words[ends[k] : ends[k + 1]], places.get(c), most, least)
+                src.append(np.full(len(found), k)), dst.append(found), overlap.append(shared)
+            at = pa.array(np.concatenate(src))
+            yield pa.RecordBatch.from_arrays(
+                [asks["batch_id"].combine_chunks().take(at), asks["src"].combine_chunks().take(at), ids.take(pa.array(np.concatenate(dst))), pa.array(np.concatenate(overlap).astype(np.int64))],
+                ["batch_id", "src", "dst", "overlap"],
+            )
 
     return run
 
 
-def thematic_edges(chunks: DataFrame, most: int = 3, least: int = 2, block: int = BLOCK) -> DataFrame:
+def thematic_edges(chunks: DataFrame, most: int = 3, least: int = 2, part: int = PART, stems: bool = False) -> DataFrame:
     """(batch_id, src, edge_type, dst, list_pos): each chunk's ``most`` neighbours by shared keywords that share ``least``.
 
-    A batch is dealt into blocks; a task compares two blocks and hands on the best neighbours alone, so a keyword that
-    all chunks share makes no pairs. Chunks without keywords have no edges.
+    A batch is dealt into parts of about ``part`` chunks. Each chunk first asks its own part; the last of the best found
+    there, t, bounds what others must share: a chunk that shares t keywords holds one of any size - t + 1 of them, so the
+    chunk goes on only to parts that hold one of its rarest so many. Tasks hand on the best alone; pairs are never rows.
+    With ``stems``, keywords are compared by their stems. Chunks without keywords have no edges.
     """
-    known = F.transform(keywords(F.col("text")), lambda w: F.xxhash64(w))
-    held = chunks.select("batch_id", "chunk_id", known.alias("keywords")).where(F.size("keywords") > 0)
-    sizes = chunks.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = held.join(sizes, "batch_id").withColumn("own", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.select("batch_id", F.col("own").alias("a"), every.alias("b"), "chunk_id", "keywords")
-    fresh = (F.col(c).alias(c) for c in ("chunk_id", "keywords"))
-    right = dealt.select(F.col("batch_id").alias("batch_id"), every.alias("a"), F.col("own").alias("b"), *fresh)
-    keys = ["batch_id", "a", "b"]
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
-    schema = f"batch_id {kinds['batch_id']}, src {kinds['chunk_id']}, dst {kinds['chunk_id']}, overlap long"
-    shared = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_overlaps(most, least), schema)
-    rank = F.row_number().over(Window.partitionBy("batch_id", "src").orderBy(F.desc("overlap"), "dst"))
-    best = shared.withColumn("list_pos", rank).where(F.col("list_pos") <= most)
-    return best.select("batch_id", "src", F.lit("thematic").alias("edge_type"), "dst", "list_pos")
+    found = keywords(F.col("text"))
+    found = F.array_distinct(stem_lists(found)) if stems else found
+    held = chunks.select("batch_id", "chunk_id", once(F.transform(found, lambda w: F.xxhash64(w))).alias("keywords")).where("size(keywords) > 0 AND batch_id IS NOT NULL")
+    parts = cut(parts_of(chunks.where("batch_id IS NOT NULL"), ["batch_id"], part))
+    own = cut(dealt(held, parts, ["batch_id"], "chunk_id"))
+    ddl = f"batch_id {kinds['batch_id']}, src {kinds['chunk_id']}, dst {kinds['chunk_id']}, overlap long"
+    order = Window.partitionBy("batch_id", "src").orderBy(F.desc("overlap"), "dst")
+    best = lambda rows: rows.withColumn("list_pos", F.row_number().over(order)).where(F.col("list_pos") <= most)
+    asked = lambda rows, bound: rows.select("batch_id", "part", F.col("chunk_id").alias("src"), F.col("keywords").alias("words"), bound.cast("int").alias("least"))
+
+    def met(asks: DataFrame) -> DataFrame:
+        return meet(own, asks, ["batch_id", "part"], ["chunk_id"], _nearest(most), ddl)
+
+    first = best(met(asked(own, F.lit(least))))
+    if not parts.where("parts > 1").isEmpty():
+        first = cut(first)
+        last = first.where(F.col("list_pos") == most).select("batch_id", F.col("src").alias("chunk_id"), F.col("overlap").alias("t"))
+        others = met(asked(_visits(own.join(last, ["batch_id", "chunk_id"], "left").fillna(least, ["t"]), parts), F.col("t")))
+        first = best(first.drop("list_pos").unionByName(others))
+    return first.select("batch_id", "src", F.lit("thematic").alias("edge_type"), "dst", "list_pos")
+
+
+def _visits(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Chunks, with the bound ``t``, once for each other part of their batch that may hold a chunk that shares t keywords."""
+    wide = rows.join(parts.where("parts > 1"), "batch_id")
+    words = wide.select("batch_id", "chunk_id", "part", "parts", (F.size("keywords") - F.col("t") + 1).alias("prefix"), F.explode("keywords").alias("word"))
+    df = words.groupBy("batch_id", "word", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("batch_id", "word").agg(F.sum("n").alias("df"), F.collect_set("part").alias("at"))
+    rarest = F.row_number().over(Window.partitionBy("batch_id", "chunk_id").orderBy("df", "word"))
+    prefix = words.join(df, ["batch_id", "word"]).withColumn("turn", rarest).where("turn <= prefix")
+    many = F.size("at") * 2 > F.col("parts")  # such a word sends its chunks everywhere
+    to = prefix.groupBy("batch_id", "chunk_id", "parts").agg(F.bool_or(many).alias("every"), F.array_distinct(F.flatten(F.collect_list(F.when(~many, F.col("at"))))).alias("some"))
+    to = to.select("batch_id", "chunk_id", F.explode(F.when(F.col("every"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.col("some"))).alias("to"))
+    there = wide.join(to, ["batch_id", "chunk_id"]).where("part <> to")
+    return there.select("batch_id", F.col("to").alias("part"), "chunk_id", "keywords", "t")
 
 
 def _parents(sections: Column) -> Column:

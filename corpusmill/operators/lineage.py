@@ -37,3 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` of a scan, dealt to all cores by ``keys`` where its files make fewer tasks than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if rows._jdf.rdd().getNumPartitions() < cores else rows

@@ -9,8 +9,8 @@ from ..config import CACHE_SCORE, COOLDOWN_S, MIN_CARD_CONFIDENCE
 from ..functions import text as T
 from ..functions.embed import embedded
 from ..functions.vectors import cosine, sigmoid
-from ..operators import bm25, chunking, dense, fusion, graph, ivf, metrics, platform, transcripts
-from ..operators.lineage import cut
+from ..operators import blockmax, bm25, chunking, dense, fusion, graph, ivf, metrics, platform, transcripts
+from ..operators.lineage import cut, spread
 from ..sources import files, web
 from . import retrieval
 
@@ -94,6 +94,12 @@ def bm25_topk_corpus(spark, sf):
     return corpus_hits(spark, sf).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
 
 
+@query(f"WITH {_WIDE} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM hit")
+def bm25_topk_blocks(spark, sf):
+    index = blockmax.build(spread(whole(chunks_of(spark, sf)), "chunk_id"), stems=False)
+    return blockmax.search(index, whole(questions_of(spark, sf)), stems=False).select("query_id", "chunk_id", r6("score").alias("score"), "rank")
+
+
 @query()
 def bm25_topk_stemmed(spark, sf):
     index = bm25.build(whole(chunks_of(spark, sf)))
@@ -392,12 +398,15 @@ def graph_expand_2hop(spark, sf):
 
 @query()
 def retrieve_end_to_end(spark, sf):
-    """All benchmark items over the corpus: words and vectors, a given rewrite, the graph of each source, reranking."""
-    chunks = chunks_of(spark, sf).withColumn("document_id", F.col("chunk_id")).withColumn("section_title", F.lit(""))
+    """All benchmark items over the packed chunks of the corpus: words and vectors, given rewrites, the graph of each source, reranking."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id")
+    chunks = cut(chunking.pack(chunking.sections(chunking.line_blocks(docs))).select("batch_id", "chunk_id", "document_id", "section_title", "text", "embedding_eligible"))
     asked = whole(questions_of(spark, sf))
-    given = asked.select("query_id", "batch_id", F.lit(1).alias("rewrite_idx"), F.substring("text", 1, 60).alias("rewrite"), F.lit("semantic").alias("type"))
-    vectors = embedded(whole(chunks).select("batch_id", "chunk_id", "text"), "text").drop("text")
-    edges = cut(whole(graph.thematic_edges(chunks_of(spark, sf))))
+    # As a model would give them: one near the question, and one about its last part alone, which may be too far from it.
+    part = lambda i, text, kind: asked.select("query_id", "batch_id", F.lit(i).alias("rewrite_idx"), F.expr(text).alias("rewrite"), F.lit(kind).alias("type"))
+    given = part(1, "left(text, int(length(text) * 0.8))", "semantic").unionByName(part(2, "right(text, int(length(text) * 0.3))", "decomposition"))
+    vectors = embedded(whole(chunks).where("embedding_eligible").select("batch_id", "chunk_id", "text"), "text").drop("text")
+    edges = cut(whole(graph.thematic_edges(chunks, stems=True)))
     found = retrieval.retrieve(whole(chunks), asked, edges, given, vectors=vectors)
     return found.select("query_id", "chunk_id", *(r6(c).alias(c) for c in ("score", "rerank_score", "final_score")), F.array_join("origins", ",").alias("origins"), "rank")
 
