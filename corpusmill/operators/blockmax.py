@@ -133,14 +133,16 @@ def _kernel(keep: int, block: int, k1: float, b: float):
                 ends = np.concatenate(([0], np.cumsum(np.diff(np.asarray(at.offsets)))))
                 dl = held["n"].combine_chunks()[whole].values.to_numpy()
                 group = None
-            for i in range(len(asks)):
-                if group is None:
-                    group = Group(own["term"].to_pylist(), at.flatten().to_numpy(), n.flatten().to_numpy(), ends, dl, asks["avgdl"][i].as_py(), block, k1, b)
-                found, score, _ = group.search(asks["terms"][i].as_py(), asks["weights"][i].as_py(), keep)
+            if group is None:
+                group = Group(own["term"].to_pylist(), at.flatten().to_numpy(), n.flatten().to_numpy(), ends, dl, asks["avgdl"][0].as_py(), block, k1, b)
+            owner, place, scores = [], [], []
+            for i, (terms, weights) in enumerate(zip(asks["terms"].to_pylist(), asks["weights"].to_pylist(), strict=True)):
+                found, score, _ = group.search(terms, weights, keep)
                 take = firsts(np.zeros(len(found), np.int64), np.round(score, 9), rank[found], keep)
-                if len(take):
-                    same = [asks[c].combine_chunks().take(pa.array(np.full(len(take), i))) for c in ("query_id", "batch_id")]
-                    yield pa.RecordBatch.from_arrays([*same, ids.take(pa.array(found[take])), pa.array(score[take])], ["query_id", "batch_id", "chunk_id", "score"])
+                owner.append(np.full(len(take), i)), place.append(found[take]), scores.append(score[take])
+            owner = pa.array(np.concatenate(owner))
+            same = [asks[c].combine_chunks().take(owner) for c in ("query_id", "batch_id")]
+            yield pa.RecordBatch.from_arrays([*same, ids.take(pa.array(np.concatenate(place))), pa.array(np.concatenate(scores))], ["query_id", "batch_id", "chunk_id", "score"])
 
     return run
 

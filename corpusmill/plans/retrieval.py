@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ALPHA, DENSE_TOP_K, LIMIT, MAX_SEMANTIC, REWRITE_WEIGHTS, SPARSE_TOP_K
 from ..functions.embed import embedded
-from ..functions.text import keyword_rewrite, terms
+from ..functions.text import keyword_rewrite, once, terms
 from ..functions.vectors import cosine, fused
 from ..operators import blockmax, dense, fusion, graph, serving
 from ..operators.lineage import cut
@@ -55,8 +55,10 @@ def undrifted(queries: DataFrame, given: DataFrame, embed: Embed, kept: int = MA
 
 def lexical_score(query: DataFrame, text: str, other: str) -> DataFrame:
     """``rerank_score``: the share of the query's distinct terms that a text holds; stands in for a cross-encoder."""
-    q, t = F.array_distinct(terms(F.col(text))), F.array_distinct(terms(F.col(other)))
-    return query.withColumn("rerank_score", F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)).otherwise(F.lit(0.0)))
+    q = F.array_distinct(terms(F.col(text)))
+    held = query.withColumn("_q", once(q)).withColumn("_t", terms(F.col(other)))
+    score = F.when(F.size("_q") > 0, F.size(F.array_intersect("_q", "_t")) / F.size("_q")).otherwise(F.lit(0.0))
+    return held.withColumn("rerank_score", score).drop("_q", "_t")
 
 
 def contextual(section: Column, text: Column) -> Column:
@@ -72,7 +74,8 @@ def rerank(candidates: DataFrame, asked: DataFrame, known: DataFrame | None = No
     """
     full = candidates.withColumn("body", contextual(F.col("section_title"), F.col("body")))
     pairs = full.select("query_id", "chunk_id", "body").join(asked.distinct(), "query_id")
-    unique = pairs.select("ask", "body").distinct()
+    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps the scoring of few bytes on many tasks
+    unique = pairs.select("ask", "body").repartition(n, "ask", "body").distinct()
     if known is not None:
         scored = score(unique.join(known, ["ask", "body"], "left_anti"), "ask", "body").unionByName(unique.join(known, ["ask", "body"]))
     else:
