@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .meeting import firsts, groups, matrix, meet, usable, widened
+from .meeting import firsts, groups, in_order, matrix, meet, usable, widened
 
 SAMPLE = 8_192  # the bound of the sample that the cells are fitted on: the rows of the least hashes of their vec_ids
 CELL_ROWS, MOST_CELLS = 512, 256  # a cell for so many rows at least, and the bound of the cells
@@ -164,14 +164,6 @@ def _route_task(model: dict[str, np.ndarray], every: int):
     return run
 
 
-def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows with rows, summed from the first component to the last, whatever stands beside a row."""
-    out = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        out += a[:, k] * b[:, k]
-    return out
-
-
 def _search(keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, q in groups(batches):
@@ -190,7 +182,7 @@ def _search(keep: int):
                     least = np.maximum(least, own - slack * length[b].max())  # the last of the best, less what rounding may hide
                 r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
                 owner, ids = np.concatenate((owner, r)), np.concatenate((ids, xi[b][c]))
-                score = np.concatenate((score, _in_order(qv[r], xv[b][c])))
+                score = np.concatenate((score, in_order(qv[r], xv[b][c])))
                 take = firsts(owner, score, ids, keep)
                 owner, score, ids = owner[take], score[take], ids[take]
             yield pa.RecordBatch.from_arrays([pa.array(qi[owner]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])

@@ -1,19 +1,16 @@
-"""Vectors of a table, and queries that meet groups of candidates inside tasks.
-
-Candidates are dealt to groups of a bounded size, queries are copied to the groups that they must see, and both go to one
-task by group, candidates first: a task holds one group's vectors at a time and reads its queries as they come. No pair
-of a query and a candidate is ever a row.
-"""
+"""Vectors that take part in searches, and how queries meet groups of them (``operators.meeting``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import meeting as core
+from ..operators.meeting import firsts, in_order, matrix, widened
+
+__all__ = ["BUCKET", "NONE", "firsts", "groups", "in_order", "matrix", "meet", "usable", "widened"]
+
 QUERY_BLOCK, BUCKET = 128, 1024  # queries and candidates that are multiplied at once
 NONE = np.iinfo(np.int64).min
 
@@ -31,58 +28,8 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def meet(candidates: DataFrame, queries: DataFrame, order: list, kernel, schema: str) -> DataFrame:
-    """``kernel`` over the rows of both, each group's candidates (sorted by ``order``) before its queries.
-
-    Both need a column ``grp``; columns that one side lacks are null.
-    """
-    both = candidates.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)), allowMissingColumns=True)
-    return both.repartition("grp").sortWithinPartitions("grp", "asks", *order).mapInArrow(kernel, schema)
-
-
-def matrix(column: pa.Array, width: int = 0) -> np.ndarray:
-    """A row for each list, filled up with zeros to the longest list or ``width``."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    ends = np.asarray(column.offsets)
-    flat, sizes = np.asarray(column.values)[ends[0] : ends[-1]], np.diff(ends)
-    width = max(width, int(sizes.max(initial=0)))
-    if len(sizes) and (sizes == width).all():
-        return flat.reshape(-1, width)
-    out = np.zeros((len(sizes), width), flat.dtype)
-    out[np.arange(width) < sizes[:, None]] = flat
-    return out
-
-
-def widened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both matrices with the width of the wider one."""
-    width = max(a.shape[1], b.shape[1])
-    return tuple(m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
-
-
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
-    """(a group's candidates, a block of its queries), block by block; groups without both are left out."""
-    now, held, chunk = None, [], None
-    for batch in batches:
-        grp, asks = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("grp", "asks"))
-        cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (asks[1:] != asks[:-1])) + 1
-        for i, j in zip([0, *cuts], [*cuts, len(grp)], strict=True):
-            if i == j:
-                continue
-            if grp[i] != now:
-                now, held, chunk = grp[i], [], None
-            if not asks[i]:
-                held.append(batch.slice(i, j - i))
-                continue
-            if held:
-                chunk, held = pa.Table.from_batches(held), []
-            if chunk is not None:
-                for k in range(i, j, QUERY_BLOCK):
-                    yield chunk, pa.Table.from_batches([batch.slice(k, min(QUERY_BLOCK, j - k))])
+    return core.meet(candidates, queries, ["grp"], order, kernel, schema)
 
 
-def firsts(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the ``keep`` best of each owner, best first: by score, ties by id."""
-    order = np.lexsort((ids, -score, owner))
-    own = owner[order]
-    start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.empty(0, int)
-    rank = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
-    return order[rank < keep]
+def groups(batches):
+    return core.groups(batches, ["grp"], QUERY_BLOCK)
