@@ -1,15 +1,10 @@
-"""Structured Streaming forms: rolling metrics, request cooldown, de-duplicated requests, file-drop ingestion."""
+"""Structured Streaming forms: rolling metrics, de-duplicated requests, file-drop ingestion."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import COOLDOWN_S
 from ..operators import chunking
 
 
@@ -21,28 +16,6 @@ def rolling_metrics(events: DataFrame, span: str = "1 hour", late: str = "2 hour
     )
 
 
-def _cooldown(seconds: int):
-    def one_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        micros = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
-        out = []
-        for now in micros:
-            out.append(last is not None and now - last < seconds * 1_000_000)
-            last = now
-        state.update((last,))
-        yield pd.DataFrame({"key": key[0], "request_id": rows["request_id"], "suppressed": out})
-
-    return one_key
-
-
-def cooldown(requests: DataFrame, seconds: int = COOLDOWN_S) -> DataFrame:
-    """(key, request_id, suppressed): requests less than ``seconds`` after the one before with the same key."""
-    return requests.groupBy("key").applyInPandasWithState(
-        _cooldown(seconds), "key string, request_id long, suppressed boolean", "last long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def single_flight(requests: DataFrame, late: str) -> DataFrame:
     """The first request of each key within the watermark; the user is part of the key."""
     return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["key", "username"])
