@@ -34,11 +34,11 @@ class Limits(NamedTuple):
 
     piece: int = 4_096  # leaves of a trie that a task hands on
     head: int = 256  # leaves between two that may become borders
-    range_leaves: int = 16_384  # leaves before merging for one range
+    range_leaves: int = 65_536  # leaves before merging for one range
     sampled: int = 8_192  # the bound of the sampled border terms
-    terms: int = 150_000  # terms, their bytes and counters before a task hands on what it holds
-    bytes: int = 1 << 24
-    counters: int = 1 << 19
+    terms: int = 400_000  # terms, their bytes and counters before a task hands on what it holds
+    bytes: int = 1 << 26
+    counters: int = 1 << 21
     tile: int = 256  # sources whose sums a task holds at a time
     cells: int = 1 << 20  # entries of a matrix of terms by sources
 
