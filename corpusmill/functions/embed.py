@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +32,7 @@ def mean_pooled(vectors: Column, mask: Column) -> Column:
 def embedded(rows: DataFrame, column: str, out: str = "embedding", dim: int = EMBED_DIM, is_query: bool = False, most: int = EMBED_TERMS) -> DataFrame:
     """``rows`` with a vector of length 1 of each text's first ``most`` words, or zeros where it has none.
 
-    Each word adds 1 or -1 at a place of the vector, both by its checksum; a question's text follows the fixed prefix.
+    Each word adds 1 or -1 at a place of the vector, both by the first 32 bits of its MD5; a question's text follows the fixed prefix.
     A stand-in for a model: the same words give the same vector in every process.
     """
     text = F.concat(F.lit(QUERY_PREFIX), F.coalesce(F.col(column), F.lit(""))) if is_query else F.col(column)
@@ -42,10 +42,10 @@ def embedded(rows: DataFrame, column: str, out: str = "embedding", dim: int = EM
         for batch in batches:
             lists = batch.column(0)
             codes = lists.flatten().dictionary_encode()
-            hashes = np.array([zlib.crc32(w.encode()) for w in codes.dictionary.to_pylist()], np.int64)
+            hashes = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in codes.dictionary.to_pylist()], np.int64)
             place = hashes[codes.indices.to_numpy()] if len(codes) else np.empty(0, np.int64)
             row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            sums = np.bincount(row * dim + place % dim, np.where(place >> 31 & 1, -1.0, 1.0), minlength=len(lists) * dim).reshape(-1, dim)
+            sums = np.bincount(row * dim + place % dim, np.where(place >> 31 & 1, -1.0, 1.0), minlength=len(lists) * dim).astype(float).reshape(-1, dim)
             length = np.sqrt((sums**2).sum(axis=1, keepdims=True))
             sums = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dim), pa.array(sums.astype(np.float32).ravel()))

@@ -97,15 +97,22 @@ def delete_documents(spark: SparkSession, path: str, documents: DataFrame) -> No
     _write_index(left, path)
 
 
-def actions(spark: SparkSession, path: str) -> DataFrame:
-    """(batch_id, action): "ready" where status and points agree, "repair" where they don't, "purge" without points."""
-    held = read(spark, path, "points").groupBy("batch_id").agg(F.count(F.lit(1)).alias("held"))
-    known = read(spark, path, "status").select("batch_id", "chunks")
-    for name in ("postings", "edges"):
-        known = known.join(read(spark, path, name).select("batch_id").distinct().withColumn(name, F.lit(True)), "batch_id", "full_outer")
-    both = held.join(known, "batch_id", "full_outer")
+def judged(points: DataFrame, status: DataFrame, *others: DataFrame) -> DataFrame:
+    """(batch_id, action): "ready" where status and points agree on the chunks, "repair" where they don't, "purge" without points.
+
+    ``others`` are further tables by batch, which are to be purged as well.
+    """
+    held = points.groupBy("batch_id").agg(F.count(F.lit(1)).alias("held"))
+    known = status.select("batch_id", "chunks")
+    for rows in others:
+        known = known.join(rows.select("batch_id").distinct(), "batch_id", "full_outer")
     action = F.when(F.col("held").isNull(), "purge").when(F.col("held").eqNullSafe(F.col("chunks")), "ready").otherwise("repair")
-    return both.select("batch_id", action.alias("action"))
+    return held.join(known, "batch_id", "full_outer").select("batch_id", action.alias("action"))
+
+
+def actions(spark: SparkSession, path: str) -> DataFrame:
+    """What ``judged`` says of a stored index."""
+    return judged(*(read(spark, path, name) for name in ("points", "status", "postings", "edges")))
 
 
 def repair(spark: SparkSession, path: str) -> DataFrame:

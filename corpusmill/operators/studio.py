@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CACHE_TTL_S, MIN_CARD_CONFIDENCE
+from ..functions.embed import embedded
 from ..functions.jsonrescue import rescue_json
 from ..functions.text import collapse_space
-from . import platform, serving
+from . import cache, platform, serving
+from .lineage import cut
 
 Model = Callable[[DataFrame], DataFrame]
 
@@ -25,7 +27,8 @@ COMPLEXITY = {
     "Undergrad": "Use academic terminology and standard depth.",
     "PhD Expert": "Use highly technical language and focus on advanced nuances.",
 }
-NO_ANSWER = "The sources hold no answer to this question."  # what a model is told to reply without an answer
+#: Fixed value: what a model is told to reply without an answer; such a reply starts a cooldown and is not cached.
+NO_ANSWER = "Currently we do not have the answer for this question."
 _CARD = "array<struct<topic:string,question:string,answer:string,card_type:string,citations:array<string>,confidence_score:double>>"
 _QUIZ = "array<struct<question:string,options:array<struct<id:string,text:string>>,correct_option_id:string,explanation:string,citation:string>>"
 PODCAST_TOPIC_CHARS = 500
@@ -94,27 +97,84 @@ def quizzes(topics: DataFrame, found: DataFrame, chunks: DataFrame, model: Model
     return replied.withColumn("payload", good).where(F.col("payload").isNotNull()).select("query_id", "username", "batch_id", "complexity", "topic", "payload")
 
 
-def answers(requests: DataFrame, enrolments: DataFrame, cached: DataFrame, retrieve: Callable[[DataFrame], DataFrame], chunks: DataFrame, model: Model) -> DataFrame:
+def answers(
+    requests: DataFrame, enrolments: DataFrame, cached: DataFrame, retrieve: Callable[[DataFrame], DataFrame], chunks: DataFrame, model: Model, contexts: DataFrame | None = None
+) -> DataFrame:
     """(query_id, reply, citations, origin) of chat requests (query_id, username, batch_id, text, complexity, suppressed).
 
     Suppressed requests and those of users that are not enrolled drop out. A request with a cached reply (query_id,
-    reply, citations) gets it; the others are answered from what ``retrieve`` finds, the cited ids read off the reply.
+    reply, citations) gets it; one with a cached context in ``contexts`` (query_id, chunk_ids) is answered from that; the
+    others are answered from what ``retrieve`` finds. Cited ids are read off the reply. ``chunk_ids``, what a new reply
+    was made from, best first, is null for cached replies.
     """
     allowed = platform.enrolled(requests.where("NOT suppressed"), enrolments)
     known = allowed.select("query_id").join(cached.select("query_id", "reply", "citations"), "query_id").withColumn("origin", F.lit("cache"))
     open_ = allowed.join(cached.select("query_id"), "query_id", "left_anti")
-    found = retrieve(open_)
-    ids = found.groupBy("query_id").agg(F.collect_list(F.col("chunk_id").cast("string")).alias("ids"))
-    context = serving.prompt_context(found.join(chunks.select("chunk_id", "text"), "chunk_id"))
-    prompt = F.concat(F.lit("Answer the question from the sources.\n"), pitch(F.col("complexity")), F.lit("\nSources:\n"), F.coalesce("context", F.lit("")), F.lit("\nQuestion: "), F.col("text"))
+    if contexts is None:
+        found = retrieve(open_).select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "rank").withColumn("origin", F.lit("model"))
+    else:
+        held = contexts.join(open_.select("query_id"), "query_id").select("query_id", F.posexplode("chunk_ids").alias("rank", "chunk_id")).withColumn("origin", F.lit("context"))
+        new = retrieve(open_.join(contexts.select("query_id"), "query_id", "left_anti"))
+        found = held.unionByName(new.select("query_id", F.col("chunk_id").cast("string").alias("chunk_id"), "rank").withColumn("origin", F.lit("model")))
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "chunk_id")))
+    ids = found.groupBy("query_id", "origin").agg(F.transform(ranked, lambda x: x["chunk_id"]).alias("ids"))
+    texts = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text")
+    context = serving.prompt_context(found.join(texts, "chunk_id"))
+    prompt = F.concat(
+        F.lit(f'Answer the question from the sources alone, cite them as [DOC_ID: id], or reply with "{NO_ANSWER}" only.\n'), pitch(F.col("complexity")),
+        F.lit("\nSources:\n"), F.coalesce("context", F.lit("")), F.lit("\nQuestion: "), F.col("text"),
+    )
     replied = model(open_.join(context, "query_id", "left").join(ids, "query_id", "left").withColumn("prompt", prompt))
     cited = F.coalesce(platform.citations(F.col("reply"), F.col("ids")), F.array().cast("array<string>"))
-    return known.unionByName(replied.select("query_id", "reply", cited.alias("citations"), F.lit("model").alias("origin")))
+    out = replied.select("query_id", "reply", cited.alias("citations"), F.coalesce("origin", F.lit("model")).alias("origin"), F.col("ids").alias("chunk_ids"))
+    return known.withColumn("chunk_ids", F.lit(None).cast("array<string>")).unionByName(out)
+
+
+def chat(
+    requests: DataFrame,
+    enrolments: DataFrame,
+    entries: DataFrame,
+    values: DataFrame,
+    now: Column,
+    retrieve: Callable[[DataFrame], DataFrame],
+    chunks: DataFrame,
+    model: Model,
+    verify: cache.Score,
+    embed: cache.Embed = embedded,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, new cache entries, their values) of chat requests, which also have tutor_mode.
+
+    The first tier of the cache has replies under the same complexity and mode, the second the chunks found for a
+    question whatever these are; only what neither holds is retrieved, and only what the first doesn't hold goes to the
+    model. New replies but the fixed sentence go into the first tier, new non-empty retrievals into the second.
+    ``values`` has cache_id, created_at, reply, citations and chunk_ids.
+    """
+    allowed = platform.enrolled(requests.where("NOT suppressed"), enrolments)
+    replies = cut(cache.lookup(allowed, entries, values.select("cache_id", "created_at", "reply", "citations"), now, verify, cache.RESPONSE, cache.FILTERS, embed))
+    open_ = allowed.join(replies.select("query_id"), "query_id", "left_anti")
+    contexts = cut(cache.lookup(open_, entries, values.select("cache_id", "created_at", "chunk_ids"), now, verify, cache.CONTEXT, (), embed).where("size(chunk_ids) > 0"))
+    answered = cut(answers(requests, enrolments, replies, retrieve, chunks, model, contexts))
+    made = answered.where("origin <> 'cache'").join(allowed.select("query_id", "batch_id", "text", *cache.FILTERS), "query_id")
+    new, value = [], []
+    for kind, rows, kept in (
+        (cache.RESPONSE, made.where(F.trim("reply") != NO_ANSWER), ("reply", "citations")),
+        (cache.CONTEXT, made.where("origin = 'model' AND size(chunk_ids) > 0").withColumns({f: F.lit(None).cast("string") for f in cache.FILTERS}), ("chunk_ids",)),
+    ):
+        own = cache.entries_of(rows, kind, now, embed)
+        new.append(own)
+        keyed = own.select("cache_id", "created_at", "batch_id", F.col("query").alias("text"), *cache.FILTERS)
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("batch_id", "text", *cache.FILTERS)]
+        first = keyed.alias("a").join(rows.alias("b"), same).groupBy("cache_id", "created_at").agg(F.min_by(F.struct("reply", "citations", "chunk_ids"), "query_id").alias("v"))
+        value.append(first.select("cache_id", "created_at", *(F.col(f"v.{c}").alias(c) if c in kept else F.lit(None).cast(k).alias(c) for c, k in _VALUE.items())))
+    return answered, new[0].unionByName(new[1]), value[0].unionByName(value[1])
+
+
+_VALUE = {"reply": "string", "citations": "array<string>", "chunk_ids": "array<string>"}
 
 
 def after_answers(answered: DataFrame, no_answer: str = NO_ANSWER) -> DataFrame:
     """``effect`` of each answer of a model: kept in the cache, or a cooldown where it is the fixed sentence."""
-    new = answered.where("origin = 'model'")
+    new = answered.where("origin <> 'cache'")
     return new.withColumn("effect", F.when(F.trim("reply") == no_answer, "cooldown").otherwise("cache"))
 
 
@@ -176,7 +236,7 @@ def fresh(cached: DataFrame, now: Column, seconds: int = CACHE_TTL_S) -> DataFra
 
 def in_turn(rows: DataFrame, n: int, order: str, groups: int = 64) -> DataFrame:
     """``key``: numbers 0 to n - 1 dealt to rows in turn, within groups by hash, so that no task numbers all rows."""
-    group = F.pmod(F.xxhash64(order), F.lit(groups))
+    group = F.conv(F.substring(F.md5(F.col(order).cast("string")), 1, 8), 16, 10).cast("long") % groups
     place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     return rows.withColumn("key", F.pmod(place + group.cast("int"), F.lit(n)).cast("int"))
 

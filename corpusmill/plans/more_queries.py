@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import speech, tables, vectors
 from ..functions import text as T
-from ..operators import platform, serving, transcripts
+from ..operators import platform, reindex, serving, transcripts
 from ..sources import files, web
 from .queries import _DENSE, _FOLD, channel_hits, chunks_of, query, questions_of, r6, table, vector_queries, vectors_of
 
@@ -208,9 +208,14 @@ def host_dominance(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(lead > 3, "user").when(lead < -3, "assistant").alias("dominant"))
 
 
-@query("SELECT DISTINCT batch_id, 'ready' AS status FROM (SELECT source AS batch_id FROM documents WHERE length(text) > 0)")
+@query(
+    """WITH p AS (SELECT o_custkey AS b, count(*) AS held FROM orders GROUP BY 1), s AS (SELECT user_id AS b, count(*) AS chunks FROM events GROUP BY 1)
+SELECT coalesce(p.b, s.b) AS batch_id, CASE WHEN held IS NULL THEN 'purge' WHEN held IS NOT DISTINCT FROM chunks THEN 'ready' ELSE 'repair' END AS status FROM p FULL JOIN s ON p.b = s.b"""
+)
 def batch_readiness(spark, sf):
-    return chunks_of(spark, sf).groupBy("batch_id").agg(F.count_if(F.length("text") > 0).alias("n")).select("batch_id", F.when(F.col("n") > 0, "ready").otherwise("repair").alias("status"))
+    """Customers' orders as points, against a status that says as many chunks as they have events."""
+    status = table(spark, sf, "events").groupBy(F.col("user_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("chunks"))
+    return reindex.judged(table(spark, sf, "orders").select(F.col("o_custkey").alias("batch_id")), status).withColumnRenamed("action", "status")
 
 
 @query("SELECT lower(trim(text)) AS key, min(item_id) AS first_id, count(*) AS n FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000, '  ' || text FROM benchmark) GROUP BY 1")

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import embed
-from ..operators import studio, upkeep
+from ..operators import chunking, studio, upkeep
 from ..sources import pdf, web
-from .queries import query, r6, table
+from .queries import _WORDS, query, r6, table
 
 
 def points_of(spark, sf):
@@ -68,12 +67,18 @@ def ingest_points(spark, sf):
     return upkeep.points(upkeep.chunked(table(spark, sf, "documents"))).select("batch_id", "document_id", "chunk_id", "section_title", F.md5("text").alias("text_md5"), F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
 
 
-@query("SELECT doc_id, round(1.0::DOUBLE, 6) AS length FROM documents WHERE len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) > 0")
+@query(
+    rf"""WITH s AS (SELECT doc_id, i // 1000 + 1 AS sequential_index, substr(text, i + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 1000)) AS i FROM documents)),
+w AS (SELECT doc_id, sequential_index, unnest({_WORDS}[1:512]) AS word FROM s),
+h AS (SELECT doc_id, sequential_index, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h FROM w),
+v AS (SELECT doc_id, sequential_index, h % 64 AS place, sum(CASE WHEN (h >> 31) & 1 = 1 THEN -1 ELSE 1 END) AS n FROM h GROUP BY ALL)
+SELECT doc_id, sequential_index::INTEGER AS sequential_index, place::INTEGER AS place, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, sequential_index)))::FLOAT::DOUBLE, 5) AS value FROM v WHERE n <> 0"""
+)
 def text_vectors(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    v = upkeep.embed_unique(d, "text")
-    length = embed.norm(F.col("embedding"))
-    return v.where(F.exists("embedding", lambda x: x != 0)).select("doc_id", r6(length).alias("length"))
+    """Vectors of all slices of all documents, place by place; equal slices are embedded once."""
+    slices = chunking.fixed_slices(table(spark, sf, "documents")).select("doc_id", "sequential_index", F.col("slice").alias("text"))
+    places = upkeep.embed_unique(slices, "text").select("doc_id", "sequential_index", F.posexplode("embedding").alias("place", "value")).where("value <> 0")
+    return places.withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
 def page_structs(spark, sf):
@@ -180,10 +185,12 @@ def podcast_scripts(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.transform(found, lambda x: x["speaker"]), ",").alias("speakers"))
 
 
-@query("SELECT unnest(range(3))::INTEGER AS key, true AS used")
+@query(
+    """WITH g AS (SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 64 AS g FROM orders)
+SELECT o_orderkey, ((row_number() OVER (PARTITION BY g ORDER BY o_orderkey) - 1 + g) % 3)::INTEGER AS key FROM g"""
+)
 def keys_in_turn(spark, sf):
-    dealt = studio.in_turn(table(spark, sf, "orders").select("o_orderkey"), 3, "o_orderkey")
-    return dealt.groupBy("key").agg((F.count(F.lit(1)) > 0).alias("used"))
+    return studio.in_turn(table(spark, sf, "orders").select("o_orderkey"), 3, "o_orderkey")
 
 
 @query(
