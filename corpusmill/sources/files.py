@@ -1,14 +1,7 @@
-"""File sources: question banks, sheets as text, metrics logs, Office archives."""
+"""File sources: question banks, sheets as text, metrics logs."""
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,74 +42,3 @@ def metrics_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of metrics; lines that can't be read are left out."""
     schema = "metric_id string, ts string, category string, operation string, model_name string, duration_ms double, metadata map<string,string>, _corrupt_record string"
     return spark.read.schema(schema).json(path).where("_corrupt_record IS NULL").drop("_corrupt_record")
-
-
-_NUMBER = re.compile(r"(\d+)\.xml$")
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def slide_blocks(data: bytes) -> list[tuple[int, int, str, str]]:
-    """(slide, block_seq, block_type, text) of a presentation: the title is a heading, other shapes go by place."""
-    out = []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(_NUMBER.search(n)[1]))
-        for page, name in enumerate(slides, 1):
-            shapes = []
-            for shape in ElementTree.fromstring(z.read(name)).iter(f"{_P}sp"):
-                lines = [t for p in shape.iter(f"{_A}p") if (t := "".join(r.text or "" for r in p.iter(f"{_A}t")).strip())]
-                if not lines:
-                    continue
-                mark, off = shape.find(f".//{_P}ph"), shape.find(f".//{_A}off")
-                title = mark is not None and mark.get("type", "") in ("title", "ctrTitle")
-                place = (int(off.get("y")), int(off.get("x"))) if off is not None else (0, 0)
-                kind = "heading" if title else "paragraph" if len(lines) == 1 else "list"
-                shapes.append((not title, place, kind, "\n".join(lines)))
-            out += [(page, i, kind, text) for i, (_, _, kind, text) in enumerate(sorted(shapes, key=lambda s: s[:2]))]
-    return out
-
-
-def sheet_lines(data: bytes) -> list[tuple[str, str]]:
-    """(sheet, CSV text) of a workbook."""
-    out = []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
-        sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(_NUMBER.search(n)[1]))
-        for name, path in zip(names, sheets, strict=False):
-            lines = []
-            for row in ElementTree.fromstring(z.read(path)).iter(f"{_S}row"):
-                cells = []
-                for c in row.iter(f"{_S}c"):
-                    v = c.find(f"{_S}v")
-                    text = "".join(t.text or "" for t in c.iter(f"{_S}t")) if c.get("t") == "inlineStr" else v.text if v is not None else ""
-                    cells.append(shared[int(text)] if c.get("t") == "s" and text else text or "")
-                lines.append(",".join('"' + x.replace('"', '""') + '"' if re.search('[,"\n]', x) else x for x in cells))
-            out.append((name, "\n".join(lines)))
-    return out
-
-
-def _office(parse, ddl: str):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = parse(data)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), *(pa.array(c) for c in zip(*found, strict=True))], ["path", *ddl])
-
-    return rows
-
-
-def presentations(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of all presentations under ``path``, each file in its own row of a task."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_office(slide_blocks, ("page", "block_seq", "block_type", "text")), "path string, page long, block_seq long, block_type string, text string")
-
-
-def workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """CSV text of each sheet of all workbooks under ``path``."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_office(sheet_lines, ("sheet", "text")), "path string, sheet string, text string")
