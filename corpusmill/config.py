@@ -26,6 +26,7 @@ PER_DOCUMENT, PER_SECTION = 3, 2
 FUSE_RETRIEVAL, FUSE_RERANK, RERANK_THRESHOLD, RERANK_GAP = 0.35, 0.65, 0.3, 0.25
 CACHE_SCORE, CACHE_SURE, CACHE_VERIFY, CACHE_TTL_S = 0.96, 0.999, 0.5, 86_400
 COOLDOWN_S, ENROLMENT_TTL_S = 180, 300
+SCORES_KEPT = 50_000
 BLOCK_SECONDS, BLOCK_GAP, UNIT_CONFIDENCE, OPEN_UNIT_SECONDS = 60.0, 1.2, 0.75, 5.0
 METRICS_KEPT, METRICS_LATEST, COST_PER_MILLION = 1000, 100, 0.10
 MIN_CARD_CONFIDENCE = 0.7

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CACHE_TTL_S, MIN_CARD_CONFIDENCE
+from ..config import CACHE_TTL_S, MIN_CARD_CONFIDENCE, SCORES_KEPT
 from ..functions.embed import embedded
 from ..functions.jsonrescue import rescue_json
 from ..functions.text import collapse_space
@@ -249,6 +249,20 @@ def score_lookup(pairs: DataFrame, known: DataFrame, score: Callable[[DataFrame]
     return pairs.join(table, key), table
 
 
+def remembered(pairs: DataFrame, table: DataFrame, score: Callable[[DataFrame], DataFrame], most: int = SCORES_KEPT) -> tuple[DataFrame, DataFrame]:
+    """(pairs with rerank_score, the table after them) with at most ``most`` scores kept, those used last.
+
+    ``pairs`` has ask, body and ``seq``, the order of use, which goes on from batch to batch; ``table`` has ask, body,
+    rerank_score and last_used. Each different unknown pair is scored once; ties of last use go to the smaller pair.
+    """
+    key = ["ask", "body"]
+    scored, whole = score_lookup(pairs, table.select(*key, "rerank_score"), score)
+    used = pairs.groupBy(*key).agg(F.max("seq").alias("_used"))
+    dated = whole.join(table.select(*key, "last_used"), key, "left").join(used, key, "left")
+    dated = dated.select(*key, "rerank_score", F.greatest("last_used", "_used").alias("last_used"))
+    return scored, dated.orderBy(F.desc("last_used"), *key).limit(most)
+
+
 def same_question(a: Column, b: Column) -> Column:
     """Whether two questions are the same but for case and white space."""
     return F.lower(collapse_space(a)) == F.lower(collapse_space(b))
