@@ -377,19 +377,36 @@ sd AS (SELECT doc_id // 50 AS query_id, source AS batch_id, doc_id AS chunk_id,
 s1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS turn FROM sd WHERE score >= 0.15::DOUBLE),
 a1 AS (SELECT query_id, ed.batch_id, dst AS chunk_id, score * 0.85::DOUBLE * 0.8::DOUBLE AS inc, turn, list_pos FROM s1 JOIN ed ON s1.chunk_id = src AND s1.batch_id = ed.batch_id),
 g1 AS (SELECT query_id, batch_id, chunk_id, arg_min(inc, turn * 1000 + list_pos) AS first, product(1 - 0.3::DOUBLE * inc) AS al FROM a1 GROUP BY ALL),
-x1 AS (SELECT coalesce(sd.query_id, g1.query_id) AS query_id, coalesce(sd.chunk_id, g1.chunk_id) AS chunk_id, sd.score IS NOT NULL AS is_seed,
+x1 AS (SELECT coalesce(sd.query_id, g1.query_id) AS query_id, coalesce(sd.batch_id, g1.batch_id) AS batch_id, coalesce(sd.chunk_id, g1.chunk_id) AS chunk_id, sd.score IS NOT NULL AS is_seed,
   CASE WHEN g1.chunk_id IS NULL THEN sd.score WHEN sd.score IS NULL THEN 1 - (1 - first) * al / (1 - 0.3::DOUBLE * first) ELSE 1 - (1 - sd.score) * al END AS score
   FROM sd FULL JOIN g1 ON sd.query_id = g1.query_id AND sd.batch_id = g1.batch_id AND sd.chunk_id = g1.chunk_id)"""
 
 
-@query(f"WITH {_THEME}, {_HOP} SELECT query_id, chunk_id, round(score, 6) AS score, is_seed FROM x1")
+_HOP_2 = """
+h2 AS (SELECT query_id, batch_id, chunk_id, max(inc) AS s, min(turn * 1000 + list_pos) AS k FROM a1 GROUP BY ALL),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS ord FROM h2),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, ord) AS turn FROM f2 WHERE s >= 0.15::DOUBLE AND (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM s1)),
+a2 AS (SELECT query_id, ed.batch_id, dst AS chunk_id, s * 0.85::DOUBLE * 0.8::DOUBLE AS inc, turn, list_pos FROM s2 JOIN ed ON s2.chunk_id = src AND s2.batch_id = ed.batch_id),
+g2 AS (SELECT query_id, batch_id, chunk_id, arg_min(inc, turn * 1000 + list_pos) AS first, product(1 - 0.3::DOUBLE * inc) AS al FROM a2 GROUP BY ALL),
+x2 AS (SELECT coalesce(x1.query_id, g2.query_id) AS query_id, coalesce(x1.chunk_id, g2.chunk_id) AS chunk_id, coalesce(is_seed, false) AS is_seed,
+  CASE WHEN g2.chunk_id IS NULL THEN x1.score WHEN x1.score IS NULL THEN 1 - (1 - first) * al / (1 - 0.3::DOUBLE * first) ELSE 1 - (1 - x1.score) * al END AS score
+  FROM x1 FULL JOIN g2 ON x1.query_id = g2.query_id AND x1.batch_id = g2.batch_id AND x1.chunk_id = g2.chunk_id)"""
+
+
+def _capped(rows: str) -> str:
+    """The ``rows`` that an expansion keeps."""
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_seed DESC, round(score, 9) DESC, chunk_id) AS n FROM {rows}"
+    return f"SELECT query_id, chunk_id, round(score, 6) AS score, is_seed FROM ({ranked}) WHERE is_seed OR n <= 60"
+
+
+@query(f"WITH {_THEME}, {_HOP} {_capped('x1')}")
 def graph_expand_1hop(spark, sf):
     d = table(spark, sf, "documents").where(F.col("doc_id") % 25 == 0)
     seeds = d.select(F.floor(F.col("doc_id") / 50).alias("query_id"), F.col("source").alias("batch_id"), F.col("doc_id").alias("chunk_id"), (1 / (2 + F.col("doc_id") % 5)).alias("score"))
-    return graph.expand(seeds, graph.thematic_edges(chunks_of(spark, sf)), hops=1, most=10_000).withColumn("score", r6("score"))
+    return graph.expand(seeds, graph.thematic_edges(chunks_of(spark, sf)), hops=1).withColumn("score", r6("score"))
 
 
-@query()
+@query(f"WITH {_THEME}, {_HOP}, {_HOP_2} {_capped('x2')}")
 def graph_expand_2hop(spark, sf):
     d = table(spark, sf, "documents").where(F.col("doc_id") % 25 == 0)
     seeds = d.select(F.floor(F.col("doc_id") / 50).alias("query_id"), F.col("source").alias("batch_id"), F.col("doc_id").alias("chunk_id"), (1 / (2 + F.col("doc_id") % 5)).alias("score"))
