@@ -2,19 +2,22 @@
 
 Lengths are integers up to the size of a sequence, so the histogram of lengths has at most that many entries however
 large the corpus is. The plan is made from it alone: lengths over ``small`` are cut into groups of equal cardinality
-and rounded up to the longest of their group; configurations of the rounded sizes are chosen, each the fullest one for
-the largest size left and used as often as the supply allows; the actual lengths take the places of the rounded ones;
-the space that is left is filled with the small lengths by best fit. Few groups make few configurations but waste more
-by rounding, so plans are made for several numbers of groups, and the one with the fewest sequences is used. The plan
-says where the documents of a length go by their rank among equals, and ranks come from a distributed count; documents
-never visit the driver.
+and rounded up to the longest of their group; configurations of the rounded sizes are chosen; the actual lengths take
+the places of the rounded ones; the space that is left is filled with the small lengths by best fit.
+
+Of few sizes, the configurations and how often each is used are the solution of the linear program that covers the
+supply with the fewest sequences, rounded down; its columns are generated by a knapsack over the dual prices. Of many
+sizes, where the program gets slow, and for what rounding down leaves over, each configuration is the fullest one for
+the largest size left. Few groups waste more by rounding, and few small lengths fill less of it, so plans are made for
+several numbers of groups and limits of small lengths; the one with the fewest sequences is used. The plan says where the documents of a length go by their rank among equals, and
+ranks come from a distributed count; documents never visit the driver.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,9 @@ from .common import materialize
 from .tokens import TOKENIZER, encoded, encoder
 
 SEQUENCE, SMALL, GROUPS = 2048, 256, (64, 128, 256, 512, 1024)
+#: Where linear programs are solved: the share of a sequence up to which a length is small, and the number of groups.
+PROGRAMS = ((2 / 5, 512), (1 / 3, 256), (1 / 8, 64))
+ROUNDS = 100  # prices of a linear program at most; stopped early, its columns still make a whole plan
 SALT_ROWS = 10_000  # pieces of one length that are ranked in one task, about
 BROADCAST_SALTS = 1_000_000  # rows of 24 bytes that are sent to every task at most
 
@@ -104,6 +110,66 @@ def configurations(sizes: list[int], supply: list[int], capacity: int) -> list[t
     return out
 
 
+def _columns(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """For each size the dearest configuration that holds it, the dearest first, by a knapsack over the prices."""
+    source = np.arange(capacity + 1)[None, :] - sizes[:, None]
+    source[source < 0] = capacity + 1  # a place that nothing reaches
+    best, picks = np.zeros(capacity + 2), []
+    best[-1] = -np.inf
+    for _ in range(capacity // int(sizes.min())):  # no configuration has more items
+        grown = best[source] + prices[:, None]
+        pick, value = grown.argmax(axis=0), grown.max(axis=0)
+        better = value > best[:-1] + 1e-12
+        if not better.any():
+            break
+        picks.append(np.where(better, pick, -1))
+        best[:-1] = np.where(better, value, best[:-1])
+    out = []
+    for lead in np.argsort(-(prices + best[capacity - sizes]), kind="stable").tolist():
+        column, space = np.zeros(len(sizes), np.int64), capacity - int(sizes[lead])
+        column[lead] = 1
+        for pick in reversed(picks):
+            if pick[space] >= 0:
+                column[pick[space]] += 1
+                space -= int(sizes[pick[space]])
+        out.append(column)
+    return out
+
+
+def solved(sizes: list[int], supply: list[int], capacity: int, rounds: int = ROUNDS) -> list[tuple[list[tuple[int, int]], int]]:
+    """``configurations`` from the linear program over all of them, by column generation; its fractions are filled up greedily."""
+    if not sizes:
+        return []
+    size, need = np.array(sizes, np.int64), np.array(supply, np.float64)
+    basis = np.diag(capacity // size).astype(np.float64)
+    for _ in range(rounds):
+        inverse = np.linalg.inv(basis)
+        columns = _columns(size, inverse.sum(axis=0), capacity)
+        if columns[0] @ inverse.sum(axis=0) <= 1 + 1e-9:
+            break
+        for column in columns:
+            if column @ inverse.sum(axis=0) <= 1 + 1e-9:
+                continue
+            used, change = inverse @ need, inverse @ column
+            ratio = np.where(change > 1e-7, used / np.where(change > 1e-7, change, 1), np.inf)
+            out = int(ratio.argmin())
+            if change[out] <= 1e-7:
+                continue
+            basis[:, out] = column
+            row = inverse[out] / change[out]
+            inverse -= np.outer(change, row)
+            inverse[out] = row
+    used = np.linalg.solve(basis, need)
+    left, found = np.array(supply, np.int64), []
+    for column, times in zip(basis.T.astype(np.int64), np.floor(used + 1e-6).astype(np.int64).tolist(), strict=True):
+        some = np.flatnonzero(column)
+        bins = int(min(times, (left[some] // column[some]).min()))
+        if bins > 0:
+            left[some] -= column[some] * bins
+            found.append(([(int(k), int(column[k])) for k in some], bins))
+    return found + configurations(sizes, left.tolist(), capacity)
+
+
 class _Plan:
     """Runs: documents of a length with ranks from ``rank`` on go one by one into bins from ``bin`` on, at ``offset``."""
 
@@ -118,12 +184,26 @@ class _Plan:
         self.rank[length] = at + n
 
 
-def best_plan(counts: dict[int, int], capacity: int = SEQUENCE, small: int = SMALL, groups: tuple[int, ...] = GROUPS) -> tuple[np.ndarray, int]:
-    """The plan with the fewest sequences, of several with the fewest groups."""
-    return min((plan(counts, capacity, small, n) for n in groups), key=lambda p: p[1])
-
-
-def plan(counts: dict[int, int], capacity: int = SEQUENCE, small: int = SMALL, n_groups: int = GROUPS[-1]) -> tuple[np.ndarray, int]:
+def best_plan(
+    counts: dict[int, int], capacity: int = SEQUENCE, small: int = SMALL, groups: tuple[int, ...] = GROUPS, programs: tuple[tuple[float, int], ...] = PROGRAMS
+) -> tuple[np.ndarray, int]:
+    """The first plan that fills all sequences but the last, else the one with the fewest sequences; solved ones come first."""
+    limits = sorted({int(capacity * share) for share, _ in programs[:1]} | {small}, reverse=True)
+    tries = [(int(capacity * share), n, solved) for share, n in programs] + [(limit, n, configurations) for limit in limits for n in groups]
+    fewest = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best: tuple[np.ndarray, int] | None = None
+    for limit, n, choose in tries:
+        found = plan(counts, capacity, limit, n, choose)
+        if best is None or found[1] < best[1]:
+            best = found
+        if best[1] == fewest:
+            break
+    return best
+
+
+def plan(
+    counts: dict[int, int], capacity: int = SEQUENCE, small: int = SMALL, n_groups: int = GROUPS[-1], choose: Callable = configurations
+) -> tuple[np.ndarray, int]:
     """(runs sorted by length and rank, sequences) for a histogram of lengths of 1 to ``capacity``."""
     out = _Plan()
     groups = groups_of({k: v for k, v in counts.items() if k > small and v}, n_groups)
@@ -139,7 +219,7 @@ def plan(counts: dict[int, int], capacity: int = SEQUENCE, small: int = SMALL, n
                 free[space] = []
             free[space].append((first, n))
 
-    for config, bins in configurations(sizes, [sum(n for _, n in f) for f in feeds], capacity):
+    for config, bins in choose(sizes, [sum(n for _, n in f) for f in feeds], capacity):
         slots = [[] for k, n in config for _ in range(n)]  # runs (length, bins) of each place
         for slot, k in zip(slots, [k for k, n in config for _ in range(n)], strict=True):
             need = bins
