@@ -71,7 +71,9 @@ def _verified(texts: DataFrame, light: DataFrame, store: DataFrame, clashes: Dat
         .groupBy("doc_id", "text_sha256")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "variant"))).cast("string").alias("variants"))
     )
-    return materialize(light.join(found, ["doc_id", "text_sha256"], "left").withColumn("variants", F.coalesce("variants", F.lit(""))), "verified")
+    found = found.select(F.col("doc_id").alias("of_id"), F.col("text_sha256").alias("of_text"), "variants")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_sha256") == F.col("of_text"))
+    return materialize(light.join(found, same, "left").drop("of_id", "of_text").withColumn("variants", F.coalesce("variants", F.lit(""))), "verified")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
