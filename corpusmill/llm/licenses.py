@@ -8,7 +8,8 @@ of one-minimum bands is the least at which the probability of no shared band fal
 A band of a window is the least keyed hash of its shingles, and only bands that a template has as well retrieve
 anything. So the bands of templates are looked up from the other side: a window that does not hold the very shingle
 from which a template's minimum comes cannot have that minimum, and its minima are not computed. All other windows get
-all their minima, which are joined with the templates' on (class, band, minimum).
+all their minima, which are joined with the templates' on (class, band, minimum). Where the templates are too many for
+that table to be sent to every task, all windows get their minima, and both sides are shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import let, materialize
 from .license_texts import TEMPLATES
 
 WIDTH, THRESHOLD, MISS = 5, 0.75, 1e-6
-MOST_BANDS = 1_000_000  # rows of the templates' bands, which are sent to every task
+MOST_BANDS = 1_000_000  # rows of the templates' bands that are sent to every task at most; beyond that they are shuffled
 _WORD, _BREAK = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 
 Class = tuple[int, int, int, int, int]  # width, most shingles of a template, stride, window, bands
@@ -98,34 +99,23 @@ def _keyed(gram: Column, k: Column) -> Column:
     return F.xxhash64(gram, k)
 
 
-def _template_bands(spark: SparkSession, shingles: dict[str, tuple[int, list[str]]], sizes: list[Class]) -> tuple[DataFrame, dict[tuple[int, int], list[str]]]:
-    """(table of (license, template, width, top, k, minimum), the shingles of each class that give minima)."""
+def _template_bands(spark: SparkSession, shingles: dict[str, tuple[int, list[str]]], sizes: list[Class]) -> tuple[DataFrame, dict[tuple[int, int], list[str]] | None]:
+    """(table of (license, template, width, top, k, minimum), the shingles of each class that give minima, unless too many)."""
     bands = {(width, top): b for width, top, _, _, b in sizes}
     table = spark.createDataFrame([(name, s, w, _top(len(s)), bands[w, _top(len(s))]) for name, (w, s) in shingles.items()], "license string, template array<string>, width int, top int, bands int")
     table = table.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
     least = F.array_min(F.transform("template", lambda g: F.struct(_keyed(g, F.col("k")).alias("minimum"), g.alias("gram"))))
     table = table.withColumn("least", least).select("license", "template", "width", "top", "k", "least.minimum", "least.gram")
     if sum(bands[w, _top(len(s))] for w, s in shingles.values()) > MOST_BANDS:
-        raise ValueError("the table of templates is too large to be sent to every task")
+        return table.drop("gram"), None
     givers = {c: set() for c in bands}
     for r in table.select("width", "top", "gram").distinct().collect():  # at most MOST_BANDS rows
         givers[r["width"], r["top"]].add(r["gram"])
     return table.drop("gram"), {c: sorted(g) for c, g in givers.items()}
 
 
-def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """doc_id, license, containment and first_word: the best window of each template that a document holds to 0.75.
-
-    Words are runs of letters and digits, lower case. Null, empty and short texts match nothing; very long ones are
-    scanned whole. Rows that repeat a doc_id, null ones too, are read each on its own, and the best of their windows
-    counts; of equally good ones the first. Repeated rows change nothing; an empty table gives no rows; other columns
-    are ignored. first_word counts the words before the window.
-    """
-    spark: SparkSession = docs.sparkSession
-    shingles = template_shingles(templates)
-    sizes = classes(shingles)
-    table, givers = _template_bands(spark, shingles, sizes)
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(_WORD), F.lit(0))
+def _with_hits(docs: DataFrame, words: Column, sizes: list[Class], givers: dict[tuple[int, int], list[str]]) -> DataFrame:
+    """Texts that hold a wanted shingle: their words, and for each width where the wanted ones begin."""
     widths = sorted({width for width, *_ in sizes})
     of_width = {width: sorted({g for (w, _), found in givers.items() if w == width for g in found}) for width in widths}
 
@@ -143,10 +133,30 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     # A generator, so that Spark evaluates the words once, not again in a pushed-down filter.
     some = F.filter(F.array(let(words, found)), lambda h: sum((F.size(h[f"hits{x}"]) for x in widths), F.lit(0)) > 0)
     held = docs.select("doc_id", F.explode(some).alias("h")).select("doc_id", "h.*").withColumn("body", F.xxhash64("words"))
-    held = materialize(held, "license_hits")  # every class reads these few texts, none the others again
+    return materialize(held, "license_hits")  # every class reads these few texts, none the others again
+
+
+def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """doc_id, license, containment and first_word: the best window of each template that a document holds to 0.75.
+
+    Words are runs of letters and digits, lower case. Null, empty and short texts match nothing; very long ones are
+    scanned whole. Rows that repeat a doc_id, null ones too, are read each on its own, and the best of their windows
+    counts; of equally good ones the first. Repeated rows change nothing; an empty table gives no rows; other columns
+    are ignored. first_word counts the words before the window.
+    """
+    spark: SparkSession = docs.sparkSession
+    shingles = template_shingles(templates)
+    sizes = classes(shingles)
+    table, givers = _template_bands(spark, shingles, sizes)
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(_WORD), F.lit(0))
+    few = givers is not None
+    held = _with_hits(docs, words, sizes, givers) if few else docs.select("doc_id", words.alias("words")).withColumn("body", F.xxhash64("words"))
     cut = None
     for width, top, stride, window, bands in sizes:
-        starts = F.array_distinct(F.flatten(F.transform(_own_hits(width, givers[width, top]), _windows_at(stride, window))))
+        if few:
+            starts = F.array_distinct(F.flatten(F.transform(_own_hits(width, givers[width, top]), _windows_at(stride, window))))
+        else:
+            starts = F.when(F.size("words") >= width, F.sequence(F.lit(0), F.floor((F.size("words") - width) / stride).cast("int")))
         part = held.select("doc_id", "body", "words", F.explode(starts).alias("w")).select(
             "doc_id", "body", F.lit(width).alias("width"), F.lit(top).alias("top"), (F.col("w") * stride).alias("start"),
             F.slice("words", F.col("w") * stride + 1, window + width - 1).alias("words"),
@@ -155,7 +165,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         part = part.withColumn("minima", F.array(*(_minimum("grams", k) for k in range(bands))))
         cut = part if cut is None else cut.unionByName(part)
     shared = cut.select("doc_id", "body", "width", "top", "start", "grams", F.posexplode("minima").alias("k", "minimum")).join(
-        F.broadcast(table), ["width", "top", "k", "minimum"]
+        F.broadcast(table) if few else table, ["width", "top", "k", "minimum"]
     )
     containment = F.size(F.array_intersect("template", "grams")) / F.size("template")
     verified = shared.dropDuplicates(["doc_id", "body", "license", "start"]).withColumn("containment", containment).where(F.col("containment") >= THRESHOLD)
