@@ -16,10 +16,14 @@ def materialise(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked.join(one.withColumn("owner", owner).drop("batch_id", "metadata_batch_id"), "chunk_id").where(F.col("owner") == F.col("batch_id")).drop("owner")
 
 
+def drift_least(kind: Column) -> Column:
+    """The similarity that a rewrite of a type needs; null for types that always stay."""
+    return F.create_map(*(F.lit(x) for p in DRIFT_GUARDS.items() for x in p))[kind]
+
+
 def drift_guard(rewrites: DataFrame, similarity: str = "similarity") -> DataFrame:
     """Rewrites close enough to the query for their type; other types always stay."""
-    least = F.create_map(*(F.lit(x) for p in DRIFT_GUARDS.items() for x in p))
-    return rewrites.where(F.coalesce(F.col(similarity) >= least[F.col("type")], F.lit(True)))
+    return rewrites.where(F.coalesce(F.col(similarity) >= drift_least(F.col("type")), F.lit(True)))
 
 
 def semantic_cache(matches: DataFrame, values: DataFrame, now: Column) -> DataFrame:
