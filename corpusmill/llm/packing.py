@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import TOKENIZER, encoded, encoder
+from .tokens import TOKENIZER, encoded, encoder, forget
 
 SEQUENCE, SMALL, GROUPS = 2048, 256, (64, 128, 256, 512, 1024)
 #: Where linear programs are solved: the share of a sequence up to which a length is small, and the number of groups.
@@ -50,6 +50,7 @@ def _piece_rows(size: int, name: str):
                 [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        forget(name)
 
     return rows
 

@@ -24,7 +24,7 @@ from . import kernels as K
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 MEMORY = 700_000  # pre-tokens remembered at once
-SLICE = 1 << 22  # bytes of text whose pre-tokens are looked up together
+SLICE = 1 << 21  # bytes of text whose pre-tokens are looked up together
 _SPACE_MARK = "Ġ"  # how the vocabulary writes a space
 _JOINED = 3000  # pre-tokens handed to the library at once
 UNSURE, BLANK, LETTER, NUMBER, OTHER = range(5)
@@ -224,3 +224,11 @@ def encoded(column: pa.Array, name: str = TOKENIZER, limit: int = SLICE) -> Iter
     for i, j, data, offsets in K.text_slices(column, limit):
         for k, ids in enumerate(enc.encode_slice(column.slice(i, j - i), data, offsets)):
             yield i + k, ids + enc.end
+    pa.default_memory_pool().release_unused()
+
+
+def forget(name: str = TOKENIZER) -> None:
+    """Drop what this process remembers: a worker that waits for its next task, or runs one of another stage, holds it for nothing."""
+    enc = encoder(name)
+    enc.memory = _Memory(enc.dtype)
+    pa.default_memory_pool().release_unused()
